@@ -184,7 +184,7 @@ def shingles_of(words: np.ndarray, by: np.ndarray, k: int) -> list[np.ndarray]:
             one = np.zeros(1, np.uint64)
             for j in range(b - a):
                 one += words[a + j : a + j + 1] * mult[j]
-            out.append(finish(one + own * _M2))
+            out.append(finish(one + np.array([own]) * _M2))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
