@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, ngram_join, sharding, url_filters, warc
+from . import bpe, fingerprints, mixing, ngram_join, quality_rules, sharding, url_filters, warc
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -56,6 +56,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = quality_rules.judge(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", stratum="lang")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=4, num=85, den=100)
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
+    "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
     "op10_warc": op10_warc,
 }
