@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, ngram_join, quality_rules, sharding, url_filters, warc
+from . import bpe, fingerprints, html_extraction, mixing, ngram_join, quality_rules, sharding, url_filters, warc
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -66,6 +66,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=4, num=85, den=100)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
+    "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
 }
 
