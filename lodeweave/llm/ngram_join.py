@@ -6,7 +6,7 @@ fragments is counted in each and summed:
 
 1. Documents with equal sets form a class (copies are never paired).
 2. Screening. A pair with Jaccard >= t shares at least ceil(t * n) shingles of either set, so a class
-   may have at most n - ceil(t * n) shingles that no other class has. The first third of the hash
+   may have at most n - ceil(t * n) shingles that no other class has. The first half of the hash
    order is cut into fragments; each counts the shared shingles of every class in it, the counts are
    summed, and classes that already have too many unshared shingles leave. Nothing linked is lost.
 3. The classes left get the exact global order (number of classes that hold the shingle, then its
@@ -34,7 +34,8 @@ from .common import parallelism, ranked, shingles_of, texts_of, words_of, writte
 
 BLOCK = 256  # classes in a block; a task compares two blocks
 COLUMNS = 4096  # shingles in a fragment of a task's order
-SCREEN = 3  # one part in so many of the hash order is screened
+SCREEN = 2  # one part in so many of the hash order is screened
+BITS = 27  # 2**BITS bits (16 MB) mark the documents whose sets are needed; more documents cost spare sets, not memory
 SLICE = 1024  # texts hashed at a time
 
 
@@ -102,32 +103,41 @@ def _screened(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFra
             # A shingle that is shared here already goes on once, for the other batches, as class 0.
             send = ~many | new
             g, o, m = grams[send], owner[send], many[send]
-            who = np.where(m, np.uint64(0), ids[o])
             frag = (g // np.uint64(width)).astype(np.int64)
             rest = ((g - frag.astype(np.uint64) * np.uint64(width)) >> np.uint64(max(0, width.bit_length() - 32))).astype(np.uint32)
             # 32 bits tell a fragment's shingles apart; where two of this batch clash, their classes get the benefit.
             clash = np.flatnonzero((g[1:] != g[:-1]) & (rest[1:] == rest[:-1]) & (frag[1:] == frag[:-1]))
             np.add.at(credit, np.r_[o[clash], o[clash + 1]], 1)
-            edge = np.flatnonzero(np.diff(frag, prepend=-1, append=1 << 40))
-            routes, classes, payload = [], [], []
+            # Row by row: a fragment's classes, how many shingles each has there, and the shingles.
+            who = np.where(m, -1, o)
+            order = np.lexsort((who, frag))
+            frag, who, rest = frag[order], who[order], rest[order]
+            run = np.ones(len(frag), bool)
+            run[1:] = (frag[1:] != frag[:-1]) | (who[1:] != who[:-1])
+            at = np.flatnonzero(run)
+            size = np.diff(np.r_[at, len(frag)]).astype(np.uint32)
+            name = np.where(who[at] < 0, np.uint64(0), ids[np.maximum(who[at], 0)])
+            edge = np.flatnonzero(np.diff(frag[at], prepend=-1, append=1 << 40))
+            routes, classes, sizes_, payload = [], [], [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                routes.append(int(frag[a]))
-                classes.append(who[a:b].tobytes())
-                payload.append(rest[a:b].tobytes())
+                routes.append(int(frag[at[a]]))
+                classes.append(name[a:b].tobytes())
+                sizes_.append(size[a:b].tobytes())
+                payload.append(rest[at[a] : at[b] if b < len(at) else len(rest)].tobytes())
             balance = (spare + credit).astype(np.int64)
             routes.append(-1 - int(ids[0] % np.uint64(cuts)))
             classes.append(ids.tobytes())
+            sizes_.append(b"")
             payload.append(balance.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(classes, pa.binary()), pa.array(payload, pa.binary())], ["route", "classes", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), *(pa.array(x, pa.binary()) for x in (classes, sizes_, payload))], ["route", "classes", "sizes", "shingles"])
 
     def count(table: pa.Table) -> pa.Table:
         """In one fragment: how many of a class's shingles some other class has. Balances pass through."""
         route = table.column("route")[0].as_py()
         who = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint64)
         if route < 0:
-            amount = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.int64)
-            # the same class in two batches states the same spare and its own batch's credits
-            return _counts(who, amount, np.ones(len(who), bool))
+            return _counts(who, np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.int64), np.ones(len(who), bool))
+        who = np.repeat(who, np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint32))
         grams = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint32)
         order = np.lexsort((who, grams))
         grams, who = grams[order], who[order]
@@ -135,7 +145,7 @@ def _screened(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFra
         new[1:] = grams[1:] != grams[:-1]
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        low, high = np.minimum.reduceat(who, start), np.maximum.reduceat(who, start)
+        low, high = who[start], who[np.r_[start[1:], len(who)] - 1]
         shared = (low != high) | (low == 0)
         first = np.ones(len(who), bool)  # a class counts once for a shingle, however many batches held it
         first[1:] = new[1:] | (who[1:] != who[:-1])
@@ -146,24 +156,45 @@ def _screened(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFra
     def _counts(ids: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.Table:
         return pa.table({"c1": pa.array(_signed(ids)), "shared": pa.array(np.where(own, 0, n)), "balance": pa.array(np.where(own, n, np.iinfo(np.int64).min))})
 
-    packed = docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(cut, "route long, classes binary, shingles binary")
+    packed = docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(cut, "route long, classes binary, sizes binary, shingles binary")
     counted = packed.groupBy("route").applyInArrow(count, "c1 long, shared long, balance long")
     # A class seen in several batches keeps its best balance; what other batches counted comes from the fragments.
     return counted.groupBy("c1").agg(F.sum("shared").alias("shared"), F.max("balance").alias("balance")).filter("shared + balance >= 0").select("c1")
 
 
-def _with_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """c1 and the shingles of every text's set, as array<bigint>."""
+def _with_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """c1 and the shingles (array<bigint>) of the documents whose keys are in ``wanted``, and of a few others.
+
+    A bitmap of fixed size marks the wanted keys' hashes; it is built by Spark in 4 KB parts and
+    broadcast, so that no text is shuffled. A key that only looks wanted brings a spare set.
+    """
+    spark = docs.sparkSession
+    mask = (1 << BITS) - 1
+    spots = wanted.select(F.xxhash64("key").alias("h")).select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", BITS).bitwiseAND(mask))).alias("spot"))
+    spot = F.col("spot") + 1  # Spark counts bits from 1
+    parts = spots.groupBy(F.bitmap_bucket_number(spot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
+    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    for part in parts:
+        bits[(part.n - 1) * 4096 : part.n * 4096] = np.frombuffer(bytes(part.bits), np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, k):
-            at = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=at[1:])
-            flat = pa.array(_signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))
-            names = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.ListArray.from_arrays(pa.array(at), flat)], ["c1", "grams"])
+        marks = shared.value
+
+        def marked(h: np.ndarray) -> np.ndarray:
+            return (marks[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            keep = marked((h & np.uint64(mask)).astype(np.int64)) & marked(((h >> np.uint64(BITS)) & np.uint64(mask)).astype(np.int64))
+            for _, sets in _sets([b.filter(pa.array(keep))], k):
+                at = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum([len(s) for s in sets], out=at[1:])
+                flat = pa.array(_signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))
+                names = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.ListArray.from_arrays(pa.array(at), flat)], ["c1", "grams"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "c1 long, grams array<bigint>")
+    return docs.select(F.xxhash64(key).alias("h"), F.col(text).alias("text")).mapInArrow(run, "c1 long, grams array<bigint>")
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -250,21 +281,24 @@ def jaccard_components(docs: DataFrame, key: str, text: str, k: int, num: int, d
     real = F.col("key").isNotNull() & (F.col("n") > 0)
     classes = written(sig.filter(real).groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
     left = written(classes.join(_screened(docs.filter(F.col(key).isNotNull()), text, k, num, den), "c1", "left_semi").select("c1", "rep", "n"), "left")
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(left.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    sets = _with_sets(own, "key", "text", k).join(left.select("c1", "n"), "c1", "left_semi").withColumn("n", F.size("grams").cast("long"))
-    sets = written(sets, "sets")
-    n_sets, n_classes = sets.agg(F.count("c1"), F.count_distinct("c1")).first()
-    if n_sets > n_classes:  # keys that are not unique bring a class more than once
-        sets = written(sets.groupBy("c1", "n").agg(F.first("grams").alias("grams")), "sets")
-
-    # Exact order: how many of the classes left hold a shingle, then its hash. Shingles of one class alone link nothing.
+    sets = _with_sets(docs.filter(F.col(key).isNotNull()), key, text, k, left.select(F.col("rep").alias("key")))
+    sets = written(sets.withColumn("n", F.size("grams").cast("long")).withColumn("row", F.monotonically_increasing_id()).filter("n > 0"), "sets")
+    # A spare set may be a copy of another one: of equal sets the first row stays.
+    firsts = sets.groupBy("c1").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("of")).filter("of > 1")
+    spare = written(sets.select("c1", "row").join(firsts, "c1").filter("row > first").select("row"), "spare")
+    if spare.limit(1).count():
+        sets = sets.join(spare, "row", "left_anti")
+
+    # Exact order: how many of these classes hold a shingle, then its hash. Shingles of one class alone link nothing.
     posts = sets.select("c1", "n", F.explode("grams").alias("g"))
     held = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    kept = posts.join(held, "g").groupBy("c1", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
+    # One number carries the order: 16 bits of the count, 48 of the hash; what falls together here only adds candidates.
+    place = F.shiftleft(F.least(F.col("df"), F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("g", 16))
+    kept = posts.join(held, "g").groupBy("c1", "n").agg(F.sort_array(F.collect_list(place)).alias("order"))
     need = F.expr(f"(n * {num} + {den - 1}) div {den}")
     # The first n - need + 1 of the order, less the n - size(order) shingles that come first and are the class's alone.
     first = F.expr("size(order)") - need + 1
-    lead = kept.filter(first > 0).select("c1", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("o")).select("c1", F.col("o.g").alias("g"))
+    lead = kept.filter(first > 0).select("c1", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("g"))
     lead = written(lead, "lead")
     least = lead.groupBy("g").agg(F.min("c1").alias("m"), F.count(F.lit(1)).alias("of")).filter("of > 1")
     near = lead.join(least, "g").filter("c1 != m").select("c1", "m").distinct()
