@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 CURATED, STAGED = "curated", "staged"
 
 
@@ -71,28 +71,20 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 150, no
     return reached.select("qid", "id", "hop", "via")
 
 
-def components(edges: DataFrame, a: str, b: str, checkpoint: str | None = None) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every node's least reachable node, by propagation with pointer jumping.
 
     Labels are written to the shared folder each round, so lineage stays short and a lost executor
     costs a re-read. Rounds grow with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
-    folder = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-    def put(df: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    ways = put(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = put(ways.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
+    ways = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "ways")
+    label = written(ways.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     while True:
         around = ways.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
         hooked = label.join(around, F.col("node") == F.col("u")).select("node", F.least("root", "near").alias("root"))
         jumped = hooked.alias("x").join(hooked.alias("y"), F.col("x.root") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.coalesce("y.root", "x.root").alias("root"))
-        after = put(jumped)
+        after = written(jumped, "labels")
         if not after.join(label.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count():
             return after
         label = after

@@ -6,12 +6,12 @@ node, a Claim node and citations of two earlier documents; sources are Method no
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import embedding
+from ..functions.storage import shared_dir
 from ..operators import adjudication, arms
 from ..streaming import ingest
 from . import text_queries
@@ -76,8 +76,7 @@ def adjudicated_pairs(spark, d):
 
 def stream_dedup_ingest(spark, d):
     """Events as a stream: first row per (user, type) within the watermark, written once and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lw-stream-')}"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     keyed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
