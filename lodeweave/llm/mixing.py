@@ -69,12 +69,10 @@ def mix_counts(docs: DataFrame, source: str, size: str, key: str, weights: list[
 
     Nulls: a null source is a source of its own, a null size counts 0 and a null key is ordered by
     its hash. Empty texts ride along with size 0. Repeated rows are separate documents. A table
-    without rows gives no rows. Other columns are kept as they are; a clash with ``source_size``,
-    ``target`` or ``copies`` raises. The same input and seed give the same mixture.
+    without rows gives no rows. Other columns are kept, but input columns named ``source_size``,
+    ``target`` or ``copies`` are replaced. The same input and seed give the same mixture.
     """
-    for c in ("source_size", "target", "copies"):
-        if c in docs.columns and c not in (source, size, key):
-            raise ValueError(f"column {c} would be overwritten")
+    docs = docs.drop(*(c for c in ("source_size", "target", "copies") if c not in (source, size, key)))
     tie, rank = P + "tie", P + "rank0"
     docs = docs.withColumn(tie, F.xxhash64(F.lit(seed), F.col(key)))
     placed = ranked(docs, [source], [size, tie, key], rank)
@@ -99,4 +97,4 @@ def mixed(docs: DataFrame, source: str, size: str, key: str, weights: list[int],
     """The mixture itself: every document as many times as it was drawn, with the columns of ``docs``."""
     drawn = mix_counts(docs, source, size, key, weights, **options)
     times = F.sequence(F.lit(1), F.col("copies"))
-    return drawn.filter("copies > 0").withColumn(P + "copy", F.explode(times)).select(*docs.columns)
+    return drawn.filter("copies > 0").withColumn(P + "copy", F.explode(times)).select(*[c for c in docs.columns if c in drawn.columns])

@@ -78,11 +78,9 @@ def _repeat_words(words: np.ndarray, by: np.ndarray) -> list[int]:
 
 
 def measures(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` without its text, plus n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text has none of anything."""
+    """``docs`` without its text, plus n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text has none of anything. Input columns of these names are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    for c in names:
-        if c in docs.columns and c != text:
-            raise ValueError(f"column {c} would be overwritten")
+    docs = docs.drop(*(c for c in names if c != text))
     others = [c for c in docs.columns if c != text]
     is_symbol, is_space = np.zeros(256, bool), np.zeros(256, bool)
     is_symbol[list(SYMBOLS)] = True
@@ -166,12 +164,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str,
     rule and cutoff. A null text counts as empty and fails the base rules; a null stratum is a stratum
     of its own; a null or unlabelled key is judged, not used as holdout; several labels of one key
     count as good if one is; repeated rows are judged alike; without labels no further rule rejects;
-    an empty table gives no rows.
+    input columns of the result's names are replaced; an empty table gives no rows.
     """
     rules = rules or RULES
-    for c in ("base_failed", "kept"):
-        if c in docs.columns:
-            raise ValueError(f"column {c} would be overwritten")
+    docs = docs.drop(*(c for c in ("base_failed", "kept") if c not in (key, text, stratum)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = written(measures(docs, text).withColumn("base_failed", failed), "measures")
     good = labels.filter("quality = 1").select(F.col(key)).filter(F.col(key).isNotNull()).distinct()

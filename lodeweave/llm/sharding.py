@@ -20,12 +20,10 @@ def interleave_shards(docs: DataFrame, source: str, key: str, shards: int, seed:
     Law ``rows``: shard counts differ by at most one, and each shard holds every source in its share
     to within about one row. A null source is a source of its own; a null key is ordered by its hash;
     empty texts are rows like others; repeated rows are placed one by one; no rows give no rows. Other
-    columns are kept; a clash with ``shard`` or ``slot`` raises. Two range shuffles of what ``docs``
+    columns are kept, but input columns named ``shard`` or ``slot`` are replaced. Two range shuffles of what ``docs``
     holds, so pass narrow rows and join the texts when they are written.
     """
-    for c in ("shard", "slot"):
-        if c in docs.columns:
-            raise ValueError(f"column {c} would be overwritten")
+    docs = docs.drop(*(c for c in ("shard", "slot") if c not in (source, key)))
     tie, rank, n, frac, at, total = (P + x for x in ("tie", "srank", "scount", "frac", "at", "total"))
     shuffled = docs.withColumn(tie, F.xxhash64(F.lit(seed), F.col(key)))
     placed = ranked(shuffled, [source], [tie, key], rank, n)

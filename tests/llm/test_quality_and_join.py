@@ -61,7 +61,7 @@ def test_rules_learn_from_labels_and_spare_good_documents(spark):
 
 def test_judge_odd_rows(docs, no_docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
-    own = docs.select("doc_id", "lang", "text", "rank")
+    own = docs.select("doc_id", "lang", "text", "rank", F.lit("x").alias("kept"), F.lit("y").alias("n_words"))
     rows = quality_rules.judge(own, labels, "doc_id", "text", "lang").collect()
     assert len(rows) == docs.count()
     for r in rows:
