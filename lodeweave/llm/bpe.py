@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\ue000"  # stands for the end-of-word suffix while a word is being read
-MEMO = 400_000  # distinct chunks a worker remembers; the memo is emptied beyond it
+MEMO = 80_000  # entries in one generation of a worker's memo
+ARCS = 200_000  # settled arcs a worker remembers
+SHIFT = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +43,24 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Memo(dict):
+    """A function's results, remembered for two generations of ``MEMO`` entries: what is used again stays."""
+
+    def __init__(self, function) -> None:
+        super().__init__()
+        self.function, self.old = function, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Automaton:
     """Tokens as states; ``arc(u, v)`` says if v may follow u."""
 
@@ -69,11 +89,13 @@ class Automaton:
         self.made[ab], self.left[ab], self.right[ab] = rank, a, b
 
     def arc(self, u: int, v: int) -> bool:
-        found = self.table.get((u, v))
-        if found is None:
-            if len(self.table) > 8 * MEMO:
-                self.table.clear()
-            found = self.table[u, v] = self._settle(u, v)
+        found = self.table.get(u * SHIFT + v)
+        return self._fill(u, v) if found is None else found
+
+    def _fill(self, u: int, v: int) -> bool:
+        if len(self.table) > ARCS:
+            self.table.clear()
+        found = self.table[u * SHIFT + v] = self._settle(u, v)
         return found
 
     def _settle(self, u: int, v: int) -> bool:
@@ -91,35 +113,71 @@ class Automaton:
 
     def prefixes(self, word: str) -> tuple[list[int], list[int], list[int]]:
         """For every prefix length of ``word``: its token count (-1 if no path), last token and that token's start."""
-        n, spell, arc = len(word), self.spell, self.arc
+        n, spell, known, fill = len(word), self.spell.get, self.table.get, self._fill
         count, last, start = [-1] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         count[0] = 0
         for j in range(n):
-            if count[j] < 0:
+            c = count[j] + 1
+            if not c:
                 continue
-            u, c = last[j], count[j] + 1
+            u = last[j]
+            row = u * SHIFT
             for i in range(j + 1, n + 1):
-                t = spell.get(word[j:i])
+                t = spell(word[j:i])
                 if t is None:
                     break
-                if t >= 0 and count[i] < 0 and (j == 0 or arc(u, t)):
+                if t >= 0 and count[i] < 0:
+                    if j:
+                        ok = known(row + t)
+                        if ok is None:
+                            ok = fill(u, t)
+                        if not ok:
+                            continue
                     count[i], last[i], start[i] = c, t, j
         return count, last, start
 
     def path(self, word: str) -> list[int]:
-        """Token ids of a word whose atoms are all in the vocabulary."""
+        """Token ids of a word whose atoms are all in the vocabulary.
+
+        Transitions are tried longest label first; a place from which no path goes on is not tried
+        again, so the walk is linear in the word's length.
+        """
         whole = word + self.end
         one = self.ids.get(whole)
-        if one is not None and self.made[one] < 0:
+        if one is not None:
             return [one]
-        count, last, start = self.prefixes(whole)
-        if count[-1] < 0:
-            raise ValueError(f"no token path spells {word!r}")
-        out, i = [], len(whole)
-        while i:
-            out.append(last[i])
-            i = start[i]
-        return out[::-1]
+        n, spell, arc = len(whole), self.spell.get, self.arc
+        dead: set[int] = set()
+        out: list[int] = []
+        at = [0]
+        options: list[list[tuple[int, int]]] = []  # of each open place, the labels not tried yet, the longest last
+        while True:
+            j = at[-1]
+            if j == n:
+                return out
+            if len(options) < len(at):
+                here = []
+                for i in range(j + 1, n + 1):
+                    t = spell(whole[j:i])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        here.append((t, i))
+                options.append(here)
+            here = options[-1]
+            while here:
+                t, i = here.pop()
+                if i not in dead and (not out or arc(out[-1], t)):
+                    out.append(t)
+                    at.append(i)
+                    break
+            else:  # no way on: go back, and do not come here again
+                if j == 0:
+                    raise ValueError(f"no token path spells {word!r}")
+                dead.add(j)
+                options.pop()
+                at.pop()
+                out.pop()
 
 
 #: White space of the files' patterns; Latin letters with marks, which most European text keeps to.
@@ -173,6 +231,10 @@ class Encoder:
             raise ValueError("only byte-level BPE files are read")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        self._paths = Memo(lambda piece: tuple(self.automaton.path(self.spelled(piece))))
+        self._counts = Memo(lambda piece: self.automaton.prefixes(self.spelled(piece) + self.automaton.end)[0][-1])
+        self.counted = Memo(self.count)
+        self.coded = Memo(self._code)
         self.letters = byte_letters()
         self.letter_of = {b: c for b, c in enumerate(self.letters) if chr(b) != c}
         self.labels = self.automaton.labels | {a["id"]: a["content"] for a in added}
@@ -201,19 +263,23 @@ class Encoder:
         return (self._common if self._usual(chunk) else self._piece).findall(chunk)
 
     def ids(self, chunk: str) -> list[int]:
-        path = self.automaton.path
-        pieces = self.pieces(chunk)
-        if len(pieces) == 1:
-            return path(self.spelled(pieces[0]))
         out: list[int] = []
-        for piece in pieces:
-            out += path(self.spelled(piece))
+        for piece in self.pieces(chunk):
+            out += self._paths[piece]
         return out
 
+    def count(self, chunk: str) -> int:
+        """Tokens of a chunk, from the last entries of its pieces' prefix tables."""
+        return sum([self._counts[piece] for piece in self.pieces(chunk)])
+
     def spelled(self, piece: str) -> str:
         """The letters of a piece's bytes."""
         return piece.encode().decode("latin-1").translate(self.letter_of)
 
+    def _code(self, chunk: bytes) -> tuple[bytes, str]:
+        own = self.ids(chunk.decode())
+        return b"".join([i.to_bytes(4, "little") for i in own]), " ".join([self.labels[i] for i in own])
+
     def parts(self, text: str) -> list[tuple[str, int]]:
         """(stretch, -1) and (special token, its id), in order."""
         if self._specials is None or not any(s in text for s in self.special):
@@ -283,7 +349,6 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
-_memos: dict[tuple[str, str], dict] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -293,16 +358,9 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _memo(path: str, kind: str) -> dict:
-    found = _memos.setdefault((path, kind), {})
-    if len(found) > MEMO:
-        found.clear()
-    return found
-
-
 def count_tokens(text: str, path: str, limit: int) -> tuple[int, int]:
     """(tokens of the whole text, code points of the longest run of whole chunks within ``limit`` tokens)."""
-    enc, memo = encoder(path), _memo(path, "count")
+    enc = encoder(path)
     total, fits, at = 0, 0, 0
     for stretch, special in enc.parts(text):
         if special >= 0:
@@ -312,13 +370,7 @@ def count_tokens(text: str, path: str, limit: int) -> tuple[int, int]:
                 fits = at
             continue
         chunks = enc.split(stretch)
-        try:
-            counts = [memo[c] for c in chunks]
-        except KeyError:
-            for c in chunks:
-                if c not in memo:
-                    memo[c] = len(enc.ids(c))
-            counts = [memo[c] for c in chunks]
+        counts = [enc.counted[c] for c in chunks]
         if total + sum(counts) <= limit:
             total += sum(counts)
             at += len(stretch)
@@ -361,7 +413,7 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, limit: int = 1
 
 def code_text(text: str, path: str) -> tuple[int, bytes, str]:
     """(number of ids, ids as little-endian unsigned 32-bit integers, decoded text) of a word-level file."""
-    enc, memo = encoder(path), _memo(path, "code")
+    enc = encoder(path)
     ids: list[bytes] = []
     said: list[str] = []
     for stretch, special in enc.parts(text):
@@ -370,10 +422,7 @@ def code_text(text: str, path: str) -> tuple[int, bytes, str]:
             said.append(enc.labels[special])
             continue
         for c in stretch.encode().split():
-            found = memo.get(c)
-            if found is None:
-                own = enc.ids(c.decode())
-                found = memo[c] = (b"".join(i.to_bytes(4, "little") for i in own), " ".join([enc.labels[i] for i in own]))
+            found = enc.coded[c]
             if found[0]:
                 ids.append(found[0])
                 said.append(found[1])

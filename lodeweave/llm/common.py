@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Internal columns start with this; caller columns must not.
-P = "__lw_"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    import atexit
-    import shutil
-    import tempfile
-
-    own = tempfile.mkdtemp(prefix="lw-shared-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from ..functions.storage import shared_dir, written
 
+__all__ = ["P", "finish", "parallelism", "ranked", "shared_dir", "shingles_of", "texts_of", "words_of", "written"]
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    What was computed once is then fixed, and a lost executor costs a re-read, not a re-run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lw-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Internal columns start with this; caller columns must not.
+P = "__lw_"
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -78,7 +54,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], rank: str
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _tables: dict = {}
 
 
@@ -100,7 +76,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
         up[1:], down[1:] = base, inverse
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if n <= 4 * _CHUNK:
+        if n <= 16 * _CHUNK:
             _tables["pow"] = have
     return have
 
