@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 MARK = "\ue000"  # stands for the end-of-word suffix while a word is being read
 MEMO = 80_000  # entries in one generation of a worker's memo
 ARCS = 200_000  # settled arcs a worker remembers
@@ -407,7 +409,7 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, limit: int = 1
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, n, pa.compute.greater(n, limit), pa.array([x[1] for x in found], pa.int64())], ["key", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    out = mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
     return out.withColumnRenamed("key", key)
 
 
@@ -457,5 +459,5 @@ def encode_decode(docs: DataFrame, key: str, text: str, path: str, digests: bool
 
     kind = docs.schema[key].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, {tail}")
+    out = mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, n_tokens long, {tail}")
     return out.withColumnRenamed("key", key)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written
 
-__all__ = ["P", "finish", "parallelism", "ranked", "shared_dir", "shingles_of", "texts_of", "words_of", "written"]
+__all__ = ["P", "finish", "mapped", "parallelism", "ranked", "release", "shared_dir", "shingles_of", "texts_of", "words_of", "written"]
 
 #: Internal columns start with this; caller columns must not.
 P = "__lw_"
@@ -20,6 +23,34 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Text that one Arrow batch holds at most (a single longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches bounded by bytes, so that long texts do not add up; a worker gives back what a partition took."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, f"{1 << 26}b").rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Freed memory goes back to the system where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str | Column], rank: str, count: str | None = None) -> DataFrame:
     """Add the 0-based ``rank`` of each row in its group (all rows if ``group`` is empty), and the group's ``count``.
 

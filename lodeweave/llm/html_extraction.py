@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Element classes of the HTML standard, as far as layout needs them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
@@ -336,4 +338,4 @@ def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64())], ["key", "text", "n_lines"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key {kind}, text string, n_lines long").withColumnRenamed("key", key)
+    return mapped(pages.select(F.col(key).alias("key"), F.col(html).alias("html")), run, f"key {kind}, text string, n_lines long").withColumnRenamed("key", key)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, ranked, shingles_of, texts_of, words_of, written
+from .common import mapped, parallelism, ranked, release, shingles_of, texts_of, words_of, written
 
 BLOCK = 256  # classes in a block; a task compares two blocks
 COLUMNS = 4096  # shingles in a fragment of a task's order
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(_signed(d[:, 0].copy())), pa.array(_signed(d[:, 1].copy()))], ["key", "n", "c1", "c2"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, c1 long, c2 long")
+    return mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, n long, c1 long, c2 long")
 
 
 def _screened(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
@@ -151,12 +151,13 @@ def _screened(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFra
         first[1:] = new[1:] | (who[1:] != who[:-1])
         hit = shared[group] & (who != 0) & first
         ids, n = np.unique(who[hit], return_counts=True)
+        release()
         return _counts(ids, n.astype(np.int64), np.zeros(len(ids), bool))
 
     def _counts(ids: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.Table:
         return pa.table({"c1": pa.array(_signed(ids)), "shared": pa.array(np.where(own, 0, n)), "balance": pa.array(np.where(own, n, np.iinfo(np.int64).min))})
 
-    packed = docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(cut, "route long, classes binary, sizes binary, shingles binary")
+    packed = mapped(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), cut, "route long, classes binary, sizes binary, shingles binary")
     counted = packed.groupBy("route").applyInArrow(count, "c1 long, shared long, balance long")
     # A class seen in several batches keeps its best balance; what other batches counted comes from the fragments.
     return counted.groupBy("c1").agg(F.sum("shared").alias("shared"), F.max("balance").alias("balance")).filter("shared + balance >= 0").select("c1")
@@ -194,7 +195,7 @@ def _with_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame)
                 names = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.ListArray.from_arrays(pa.array(at), flat)], ["c1", "grams"])
 
-    return docs.select(F.xxhash64(key).alias("h"), F.col(text).alias("text")).mapInArrow(run, "c1 long, grams array<bigint>")
+    return mapped(docs.select(F.xxhash64(key).alias("h"), F.col(text).alias("text")), run, "c1 long, grams array<bigint>")
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, texts_of, words_of, written
+from .common import P, mapped, texts_of, words_of, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -102,7 +102,7 @@ def measures(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(np.asarray(c, np.int64)) for c in counts)], [*part.schema.names[:-1], *names])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{c} long" for c in names])
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in others], F.col(text)), run, schema)
 
 
 def _beta_cdf(x: float, a: float, b: float) -> float:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Rules are broadcast as one trie; beyond so many characters in all they must go through ``judge_by_join``.
 MOST_RULE_CHARS = 32 << 20
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -98,7 +100,7 @@ def judge_urls(pages: DataFrame, key: str, url: str, rules: list[tuple[str, str]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in text)], ["key", "host", "path", "rule", "verdict"])
 
     kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
+    out = mapped(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), run, f"key {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("key", key)
 
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, shared_dir
+from .common import P, mapped, shared_dir
 
 DICT_MAGIC, PAD_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", PAD_MAGIC, 0)  # eight bytes below 0x80, so it is text too
@@ -165,7 +165,7 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, path: str, s
                     out.append(packer.compress(record("response" if r is None else "revisit", k, u, p, d.hex(), r)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    packed = kept.mapInArrow(run, "frame binary")
+    packed = mapped(kept, run, "frame binary")
     packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(path)
 
 
@@ -189,7 +189,7 @@ def read_archives(pages_path: str, spark, key_type: str = "bigint") -> DataFrame
                 yield _rows(found)
 
     files = spark.read.format("binaryFile").load(pages_path).select("content")
-    out = files.mapInArrow(run, "key string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    out = mapped(files, run, "key string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumns({"key": F.when(F.col("key") != "", F.col("key").cast(key_type)), "refers_to": F.col("refers_to").cast(key_type)})
 
 
