@@ -1,17 +1,28 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Fixed base rules reject first. Further rules reject documents whose measure exceeds a cutoff. For
-every stratum and rule the cutoffs of a fixed grid are tried from the mildest to the strictest; a
-cutoff is certified while the exact (Clopper-Pearson) upper bound on the share of good documents it
-would reject stays within the rule's part of the allowed rate. The first failure stops the sequence,
-which keeps the error of a whole sequence at the level of one test, and the level is divided by the
-number of strata and rules (Bonferroni). So, with the stated confidence, no stratum loses more
-than the allowed rate of its good documents to these rules.
+Fixed base rules reject first. Further rules reject documents whose measure exceeds a cutoff, tried on
+a fixed grid from the mildest to the strictest. A policy (a cutoff or none for every rule) is certified
+while the exact (Clopper-Pearson) upper bound on the share of good documents that its rules reject
+together stays within the allowed rate. Only the number of good documents decides how a stratum is
+tested, never what is rejected among them:
+
+* Large strata walk the lattice of policies, rule by rule, and a failure stops only its own rule.
+  Counts grow with strictness, so a wrong certificate needs one at a least strict wrong policy. Those
+  form an antichain, and the level is divided by the most that an antichain can hold.
+* Smaller strata go through the rules in order, at the whole of their level: the first failure stops
+  them. Who is through with a rule lends its level to those who are not (Holm); the next rule starts
+  when all are through.
+* Strata too small for any certificate share one on their pooled good documents, or on those of the
+  whole holdout if the pool is too small as well. It bounds the pool's loss, not that of each stratum.
+
+So, with the stated confidence, no stratum of the first two kinds loses more than the allowed rate of
+its good documents to these rules, and no pool does.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +34,8 @@ from .common import P, mapped, texts_of, words_of, written
 
 WINDOW = 5
 MIN_WORDS = 10
+#: The part of the level for strata that are not large, where there are both kinds.
+SMALL_PART = 0.9
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 #: Rules: measure in thousandths, and the cutoffs tried, mildest first.
@@ -139,20 +152,79 @@ def upper_bound(rejected: int, tried: int, level: float) -> float:
 
 
 def certified_cutoffs(counts: dict[tuple, tuple[int, list[int]]], strata: list, allowed: float, level: float, rules: dict) -> dict[tuple, int | None]:
-    """(stratum, rule) -> strictest certified cutoff, or None.
+    """(stratum, rule) -> strictest certified cutoff, or None, by fixed sequences that lend their level.
 
-    ``counts`` has, for every stratum and rule, the good holdout documents and how many of them exceed
-    each cutoff of the rule's grid.
+    ``counts`` has, for every stratum and rule, the good holdout documents and how many of them are
+    rejected at each cutoff of the rule's grid, with all earlier rules at their strictest.
     """
-    out = {}
-    for s in strata:
-        for r, (_, grid) in rules.items():
-            good, over = counts.get((s, r), (0, [0] * len(grid)))
-            out[s, r] = None
-            for cutoff, k in zip(grid, over, strict=True):
-                if not good or upper_bound(k, good, level / (len(strata) * len(rules))) > allowed / len(rules):
+    out: dict[tuple, int | None] = {(s, r): None for s in strata for r in rules}
+    for r, (_, grid) in rules.items():
+        at = dict.fromkeys(strata, 0)
+        share = dict.fromkeys(strata, level / max(1, len(strata)))
+        while True:
+            for s in strata:
+                good, over = counts.get((s, r), (0, [0] * len(grid)))
+                while good and at[s] < len(grid) and upper_bound(over[at[s]], good, share[s]) <= allowed:
+                    out[s, r] = grid[at[s]]
+                    at[s] += 1
+            waiting = [s for s in strata if at[s] < len(grid)]
+            lent = sum(share[s] for s in strata if at[s] == len(grid))
+            if not waiting or not lent:
+                break
+            share = {s: share[s] + lent / len(waiting) if s in waiting else 0.0 for s in strata}
+        if waiting:
+            break  # the whole level has gone into these tests
+    return out
+
+
+def _rejected(seen: Counter, policy: list[int], rules: dict) -> int:
+    """Documents that a policy (per rule, how many of its cutoffs from the mildest on are in force) rejects; ``seen`` counts them by how many cutoffs of each rule they exceed."""
+    least = [len(grid) - n for n, (_, grid) in zip(policy, rules.values(), strict=True)]
+    return sum(n for over, n in seen.items() if any(x > y for x, y in zip(over, least, strict=True)))
+
+
+def _width(rules: dict) -> int:
+    """A bound on the antichains of policies: their members differ in the rules other than the longest."""
+    sizes = [len(grid) + 1 for _, grid in rules.values()]
+    return math.prod(sizes) // max(sizes)
+
+
+def certified_policies(seen: dict[object, Counter], allowed: float, level: float, rules: dict) -> dict[tuple, int | None]:
+    """(stratum, rule) -> strictest certified cutoff, or None. ``seen`` counts a stratum's good holdout documents by how many cutoffs of each rule they exceed."""
+    out: dict[tuple, int | None] = {(s, r): None for s in seen for r in rules}
+    needs = lambda c: (1 - allowed) ** c.total()  # noqa: E731  the least level at which anything is certified
+    large = [s for s, c in seen.items() if needs(c) <= (1 - SMALL_PART) * level / (len(seen) * _width(rules))]
+    small_level = SMALL_PART * level if large else level
+    alone = [s for s in seen if s not in large and needs(seen[s]) <= small_level]
+    rest = [s for s in seen if s not in large and s not in alone]
+    groups = [([s], seen[s]) for s in alone]
+    for pool in (rest, list(seen)):
+        both = sum((seen[s] for s in pool), Counter())
+        if rest and needs(both) <= small_level:
+            groups.append((rest, both))
+            break
+
+    walk_level = (level - small_level if groups else level) / (max(1, len(large)) * _width(rules))
+    for s in large:
+        policy = [0] * len(rules)
+        for i, (r, (_, grid)) in enumerate(rules.items()):
+            for cutoff in grid:
+                policy[i] += 1
+                if upper_bound(_rejected(seen[s], policy, rules), seen[s].total(), walk_level) > allowed:
+                    policy[i] -= 1
                     break
                 out[s, r] = cutoff
+
+    counts = {}
+    for g, (_, c) in enumerate(groups):
+        policy = [0] * len(rules)
+        for i, (r, (_, grid)) in enumerate(rules.items()):
+            over = []
+            for policy[i] in range(1, len(grid) + 1):
+                over.append(_rejected(c, policy, rules))
+            counts[g, r] = (c.total(), over)
+    for (g, r), cutoff in certified_cutoffs(counts, list(range(len(groups))), allowed, small_level, rules).items():
+        out.update({(s, r): cutoff for s in groups[g][0]})
     return out
 
 
@@ -160,8 +232,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str,
     """Every row of ``docs`` without its text, plus the measures, base_failed and kept.
 
     ``labels`` has ``key`` and ``quality`` (1: good); all labelled good documents that pass the base
-    rules are the holdout. What reaches the driver is one row per stratum (language) with a count per
-    rule and cutoff. A null text counts as empty and fails the base rules; a null stratum is a stratum
+    rules are the holdout. What reaches the driver is a count per stratum (language) and combination of
+    cutoffs exceeded, 1,848 a stratum at most for ``RULES``. A null text counts as empty and fails the base rules; a null stratum is a stratum
     of its own; a null or unlabelled key is judged, not used as holdout; several labels of one key
     count as good if one is; repeated rows are judged alike; without labels no further rule rejects;
     input columns of the result's names are replaced; an empty table gives no rows.
@@ -171,10 +243,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str,
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = written(measures(docs, text).withColumn("base_failed", failed), "measures")
     good = labels.filter("quality = 1").select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
-    sums = [F.sum(F.expr(f"cast({measure} > {cut} as long)")).alias(f"{P}{r}_{i}") for r, (measure, grid) in rules.items() for i, cut in enumerate(grid)]
-    rows = found.filter(~F.col("base_failed")).join(good, key, "left_semi").groupBy(stratum).agg(F.count(F.lit(1)).alias(P + "n"), *sums).collect()
-    counts = {(row[stratum], r): (row[P + "n"], [row[f"{P}{r}_{i}"] for i in range(len(grid))]) for row in rows for r, (_, grid) in rules.items()}
-    cutoffs = certified_cutoffs(counts, [row[stratum] for row in rows], allowed, level, rules)
+    over = [F.expr(" + ".join(f"cast({measure} > {cut} as int)" for cut in grid)).alias(P + r) for r, (measure, grid) in rules.items()]
+    marks = [P + r for r in rules]
+    rows = found.filter(~F.col("base_failed")).join(good, key, "left_semi").select(F.col(stratum).alias(P + "s"), *over).groupBy(P + "s", *marks).agg(F.count(F.lit(1)).alias(P + "n")).collect()
+    seen: dict[object, Counter] = {}
+    for row in rows:
+        seen.setdefault(row[P + "s"], Counter())[tuple(row[m] for m in marks)] = row[P + "n"]
+    cutoffs = certified_policies(seen, allowed, level, rules)
     reject = F.lit(False)
     for (s, r), cut in cutoffs.items():
         if cut is not None:

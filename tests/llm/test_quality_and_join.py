@@ -59,6 +59,37 @@ def test_rules_learn_from_labels_and_spare_good_documents(spark):
     assert {r.bad: r.k for r in got} == {True: 0.0, False: 1.0}
 
 
+def test_small_languages_get_cutoffs(spark):
+    """No certificate existed below some 1,642 good documents a language."""
+    words = " ".join(f"w{i}" for i in range(40))
+    sizes = {"en": 1300, "fr": 498, "de": 493, "es": 320, "it": 20, None: 10}
+    rows = [(i, lang, words + (" ###" * 15 if bad else "")) for i, (lang, bad) in enumerate((lang, bad) for lang, n in sizes.items() for bad in [False] * n + [True] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = df.select("doc_id", F.when(F.col("text").contains("#"), 0).otherwise(1).alias("quality"))
+    got = quality_rules.judge(df, labels, "doc_id", "text", "lang").join(labels, "doc_id")
+    assert got.filter("kept <> (quality = 1)").count() == 0 and got.count() == len(rows)
+
+
+def test_policies_bound_the_joint_rejection():
+    rules = {"a": ("x", [30, 20, 10]), "b": ("y", [2, 1])}
+    f = lambda seen: quality_rules.certified_policies({s: Counter(c) for s, c in seen.items()}, 0.01, 0.05, rules)
+    few = {(0, 0): 500, (1, 0): 9}
+    assert f({"s": few}) == {("s", "a"): 20, ("s", "b"): None}  # a chain stops at its first failure
+    many = {(0, 0): 20_000, (1, 0): 900, (0, 1): 90, (0, 2): 20}
+    assert f({"s": many}) == {("s", "a"): 20, ("s", "b"): 1}  # a walk goes on with the next rule
+    assert f({"s": {(0, 0): 20_000, (2, 0): 120, (0, 1): 120}}) == {("s", "a"): 10, ("s", "b"): 2}  # 120 fit, 240 do not
+    assert set(f({"s": {(0, 0): 297}}).values()) == {None} and f({"s": {(0, 0): 150}, "t": {(0, 0): 149}})["t", "b"] == 1
+    assert f({}) == {}
+
+
+def test_lent_level_certifies_the_smallest():
+    counts = {(s, "r"): (n, [0]) for s, n in (("a", 500), ("b", 500), ("c", 310))}
+    rules = {"r": ("x", [5])}
+    assert set(quality_rules.certified_cutoffs(counts, ["a", "b", "c"], 0.01, 0.05, rules).values()) == {5}
+    counts["a", "r"] = (500, [9])
+    assert quality_rules.certified_cutoffs(counts, ["a", "b", "c"], 0.01, 0.05, rules) == {("a", "r"): None, ("b", "r"): 5, ("c", "r"): None}
+
+
 def test_judge_odd_rows(docs, no_docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     own = docs.select("doc_id", "lang", "text", "rank", F.lit("x").alias("kept"), F.lit("y").alias("n_words"))
