@@ -152,7 +152,7 @@ def token_containment(spark, d):
 
 
 def _facets(spark, d):
-    """Facets and sub-questions of each label: vectors with odd and even ids; similarity of every facet to every sub-question of a plan."""
+    """A fifth of the vectors, as in the SQL twins: facets and sub-questions of each label are ids ending in 1 and 2; ``_all_facets`` takes all."""
     v = table(spark, d, "embeddings").select("vec_id", "label", V.l2_normalize(F.col("embedding")).alias("u"))
     f = v.filter("vec_id % 10 = 1").select(F.col("label").alias("qid"), F.col("vec_id").alias("facet"), F.col("u").alias("fu"))
     s = v.filter("vec_id % 10 = 2").select(F.col("label").alias("plan"), F.col("vec_id").alias("sub"), "u")
@@ -184,6 +184,43 @@ def specificity_vs_rivals(spark, d):
     return E.specificity(f.select("qid", "facet").join(sims, "facet"))
 
 
+def _all_facets(spark, d):
+    """Facets (odd ids) and sub-questions (even ids) of each label: all vectors."""
+    v = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector"))
+    return v.filter("vec_id % 2 <> 0"), v.filter("vec_id % 2 = 0")
+
+
+def _own_sims(spark, d):
+    """The best similarity of every facet to a sub-question of its own label; below all others where there is none."""
+    from ..operators import retrieval
+
+    f, s = _all_facets(spark, d)
+    best = retrieval.nearest(f.withColumnRenamed("vec_id", "qid"), s.withColumnRenamed("vec_id", "id"), 1, within="label")
+    sims = f.select(F.col("label").alias("qid"), F.col("vec_id").alias("facet")).join(best.select(F.col("qid").alias("facet"), F.col("raw").alias("sim")), "facet", "left")
+    return sims.na.fill(-2.0, ["sim"])
+
+
+def facet_coverage_all(spark, d):
+    return E.coverage(_own_sims(spark, d), [0.6]).select("qid", "coverage")
+
+
+def coverage_sensitivity_all(spark, d):
+    return E.coverage(_own_sims(spark, d), [0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8])
+
+
+def specificity_vs_rivals_all(spark, d):
+    from ..operators import retrieval
+
+    f, s = _all_facets(spark, d)
+    facets = f.select(F.col("label").alias("qid"), F.col("vec_id").alias("facet"))
+    plans = [r[0] for r in s.select("label").distinct().orderBy("label").collect()]  # one row per question
+    sims = facets.select("facet", F.lit(None).cast("int").alias("plan"), F.lit(None).cast("double").alias("sim"))  # no facet is lost where there is no plan
+    for p in plans:
+        best = retrieval.nearest(f.select(F.col("vec_id").alias("qid"), "vector"), s.filter(F.col("label") == p).select(F.col("vec_id").alias("id"), "vector"), 1)
+        sims = sims.unionByName(best.select(F.col("qid").alias("facet"), F.lit(p).alias("plan"), F.col("raw").alias("sim")))
+    return E.specificity(facets.join(sims, "facet"))
+
+
 def _steps(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("qid"), F.struct("ts", "event_id").alias("step"), "event_type", F.concat(F.lit("paper:"), (F.col("event_id") % 40).cast("string")).alias("paper"))
 
@@ -263,7 +300,7 @@ QUERIES = {f.__name__: f for f in (
     spearman_rho, ols_length_bias, length_bias_p, edge_precision, band_precision, confidence_informative, run_means, paired_arms, wilcoxon_w, median_consensus_lower,
     repro_score_case, repro_accuracy, repro_crosstab, token_containment, facet_coverage, coverage_sensitivity, specificity_vs_rivals, budget_row_number,
     trajectory_added_except, retrieval_efficiency, usage_cost_rollup, stratified_sample_quota, stratified_sample_counts, equal_sample_counts, banded_sample_counts,
-    corpus_report, tier_rollup, gold_mix_bounds,
+    corpus_report, tier_rollup, gold_mix_bounds, facet_coverage_all, coverage_sensitivity_all, specificity_vs_rivals_all,
 )}
 
 _pick = lambda c: f"coalesce(list_sort(list(DISTINCT l_partkey::VARCHAR) FILTER ({c})), [])"
