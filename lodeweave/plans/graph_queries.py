@@ -54,6 +54,16 @@ def cites_bfs_cap(spark, d):
     return out.select("qid", "id", F.col("hop").cast("long").alias("hop"))
 
 
+def cites_bfs_cap_all(spark, d):
+    """The walk of ``cites_bfs_cap`` with every known part in the corpus and as a seed; the cap is the operator's."""
+    part = table(spark, d, "part").select("p_partkey")
+    seeds = part.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("p"), "p_partkey").alias("id"))
+    li = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    cites = li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.lit("cites").alias("type"), F.max(F.round(1 - F.col("l_discount"), 2)).alias("confidence"))
+    out = graph.expand(seeds, cites, hops=2, cap=30)
+    return out.select("qid", "id", F.col("hop").cast("long").alias("hop"))
+
+
 def degree_top10(spark, d):
     return graph.degree(_edges(spark, d)).orderBy(F.desc("degree"), "id").limit(10)
 
@@ -203,7 +213,7 @@ def planner_hints_topk(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bfs_two_hop_undirected, bfs_cap_by_confidence, cites_bfs_cap, degree_top10, induced_subgraph, graph_type_counts, layer_separation_invariant, promote_staged,
+    bfs_two_hop_undirected, bfs_cap_by_confidence, cites_bfs_cap, cites_bfs_cap_all, degree_top10, induced_subgraph, graph_type_counts, layer_separation_invariant, promote_staged,
     upsert_last_writer, edge_merge_drop_dangling, tier_a_edges_union, tier_a_nodes, cites_in_corpus_semi, cocitation_hubs_anti, citation_density_report,
     connected_components_min, entity_map_canonical, merge_log_by_rule, remap_edges_drop_selfloops, attrs_json_parse, confidence_clamp, confidence_gate_edges,
     node_dedup_max_conf, routing_join, planner_hints_topk,
