@@ -1,7 +1,9 @@
 """End-to-end arms, embedding, adjudication and streaming over the fixture tables; no SQL form, so rows only.
 
-Documents are the papers and chunks, benchmark items the questions. Each document also gives a Paper
-node, a Claim node and citations of two earlier documents; sources are Method nodes.
+Documents are the papers, packed into chunks by ``chunking.chunks``, benchmark items the questions. Each
+document also gives a Paper node, a Claim node per passage and citations of two earlier documents; sources
+are Method nodes. Passages are the sentences, those over 600 characters in parts, so that every word is in
+the name and the quote of a claim. Claims are provided by their papers, which address methods.
 """
 
 from __future__ import annotations
@@ -11,29 +13,47 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import embedding
+from ..functions import text as T
 from ..functions.storage import shared_dir
-from ..operators import adjudication, arms
+from ..operators import adjudication, arms, chunking
 from ..streaming import ingest
 from . import text_queries
 from .text_queries import table
 
 
+QUOTE = 600
+
+
+def _passages(docs):
+    """(doc_id, source, n, passage): all sentences in order, long ones in parts of at most ``QUOTE`` characters, between words where there are."""
+    parts = F.transform(T.sentences(F.col("text")), lambda s: F.regexp_extract_all(s, F.lit(rf"(?s)\S.{{0,{QUOTE - 1}}}(?=\s|\z)|\S{{1,{QUOTE}}}"), F.lit(0)))
+    return docs.select("doc_id", "source", F.posexplode(F.flatten(parts)).alias("n", "passage"))
+
+
 def _library(spark, d) -> arms.Library:
     docs = table(spark, d, "documents")
     paper = F.col("doc_id").cast("string")
     corpus = F.when(F.col("n_chars") < 400, "abstract").otherwise("fulltext")
-    chunks = docs.select(F.concat(F.lit("c"), paper).alias("id"), paper.alias("paper"), "text", embedding.hash_embed(F.col("text")).alias("vector"), corpus.alias("corpus"), F.lit("other").alias("section_type"), "n_chars")
+    sections = docs.select(paper.alias("paper"), F.lit(0).alias("section_index"), F.lit("other").alias("section_type"), "text")
+    packed = chunking.chunks(sections).select("id", "paper", "text", "section_type")
+    short = F.char_length(F.trim("text")) < chunking.MIN_CHUNK  # such a document has no chunk; it is one
+    whole = docs.filter(short).select(F.concat(paper, F.lit("::whole")).alias("id"), paper.alias("paper"), "text", F.lit("other").alias("section_type"))
+    chunks = packed.unionByName(whole).join(docs.select(paper.alias("paper"), corpus.alias("corpus")), "paper")
+    chunks = chunks.select("id", "paper", "text", embedding.hash_embed(F.col("text")).alias("vector"), "corpus", "section_type", F.char_length("text").cast("bigint").alias("n_chars"))
     layer = F.lit("curated").alias("source_layer")
-    title = F.substring("text", 1, 80)
-    papers = docs.select(F.concat(F.lit("paper:"), paper).alias("id"), F.lit("Paper").alias("type"), title.alias("name"), paper.alias("from_paper"), F.substring("text", 1, 300).alias("quote"), layer)
-    claims = docs.select(F.concat(F.lit("claim:"), paper).alias("id"), F.lit("Claim").alias("type"), F.substring("text", 81, 80).alias("name"), paper.alias("from_paper"), F.substring("text", 81, 300).alias("quote"), layer)
+    passages = _passages(docs)
+    first = passages.filter("n = 0").select(F.col("doc_id"), "passage")
+    papers = docs.join(first, "doc_id", "left").select(F.concat(F.lit("paper:"), paper).alias("id"), F.lit("Paper").alias("type"), F.coalesce("passage", F.lit("")).alias("name"), paper.alias("from_paper"), F.coalesce("passage", F.lit("")).alias("quote"), layer)
+    claim = F.concat(F.lit("claim:"), paper, F.lit(":"), F.col("n").cast("string"))
+    claims = passages.select(claim.alias("id"), F.lit("Claim").alias("type"), F.col("passage").alias("name"), paper.alias("from_paper"), F.col("passage").alias("quote"), layer)
     methods = docs.groupBy("source").agg(F.min("doc_id").cast("string").alias("p")).select(F.concat(F.lit("method:"), "source").alias("id"), F.lit("Method").alias("type"), F.col("source").alias("name"), F.col("p").alias("from_paper"), F.lit("").alias("quote"), layer)
     conf = (0.5 + F.col("doc_id") % 50 / 100.0).alias("confidence")
-    made = docs.select(F.concat(F.lit("claim:"), paper).alias("src"), F.concat(F.lit("method:"), "source").alias("dst"), F.lit("addresses").alias("type"), conf, layer)
+    stated = passages.select(claim.alias("src"), F.concat(F.lit("paper:"), paper).alias("dst"), F.lit("provides").alias("type"), conf, layer)
+    made = docs.select(F.concat(F.lit("paper:"), paper).alias("src"), F.concat(F.lit("method:"), "source").alias("dst"), F.lit("addresses").alias("type"), conf, layer)
     ids = docs.select(F.col("doc_id").alias("cited"))
     cites = docs.filter("doc_id > 1").select("doc_id", F.explode(F.array(F.expr("doc_id div 2"), F.expr("doc_id div 3"))).alias("cited")).filter("cited <> doc_id").join(ids, "cited", "left_semi")
     cites = cites.select(F.concat(F.lit("paper:"), paper).alias("src"), F.concat(F.lit("paper:"), F.col("cited").cast("string")).alias("dst"), F.lit("cites").alias("type"), conf, layer).distinct()
-    return arms.Library(chunks, papers.unionByName(claims).unionByName(methods), made.unionByName(cites))
+    return arms.Library(chunks, papers.unionByName(claims).unionByName(methods), stated.unionByName(made).unionByName(cites))
 
 
 def _questions(spark, d):
@@ -63,7 +83,7 @@ def hash_embed(spark, d):
 
 
 def folded_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", embedding.folded_name(F.substring("text", 1, 80)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", embedding.folded_name(F.col("text")).alias("name"))
 
 
 def adjudicated_pairs(spark, d):
