@@ -3,7 +3,11 @@
 A tree builder with implied tags keeps the stack of open elements; a renderer turns what is visible
 into lines: inline text with white space collapsed, blank lines between blocks, bullets and numbers
 for lists, and tables with aligned cells. Both are loops over one stack, so deep nesting is no
-recursion. Details are rendered open; alternative texts and form values are not text.
+recursion. Details are rendered open; alternative texts and form values are not text. Options are
+lines; text areas and xmp are preformatted; formulas and the labels of drawings are inline text, in the
+order of the source. Not text are what browsers keep for those that cannot show something better
+(noscript, object, audio, video, canvas, datalist, iframe, noembed, noframes), annotations of formulas,
+and titles, descriptions, definitions and text outside of text elements in drawings.
 """
 
 from __future__ import annotations
@@ -21,9 +25,16 @@ from .common import mapped
 #: Element classes of the HTML standard, as far as layout needs them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = set("head script style template noscript iframe object audio video canvas svg datalist select textarea title noembed noframes math map".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset hr".split())
-BLOCK = SPACED | set("html body div section article aside header footer nav main address dt dd li form figcaption legend details summary center caption hgroup search dir option optgroup".split())
+HIDDEN = set("head script style template noscript iframe object audio video canvas datalist title noembed noframes".split())
+SHOWN_RAW = {"textarea", "xmp"}
+PRE = {"pre"} | SHOWN_RAW
+#: Elements whose content is not HTML, with what is not shown of it.
+FOREIGN = {"svg": set("title desc defs metadata style script".split()), "math": set("annotation annotation-xml style script".split())}
+#: Elements of foreign content that hold HTML again, and HTML elements that end foreign content.
+ISLANDS = set("svg:foreignobject svg:desc svg:title math:annotation-xml math:mi math:mo math:mn math:ms math:mtext".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre xmp figure fieldset hr".split())
+BLOCK = SPACED | set("html body div section article aside header footer nav main address dt dd li form figcaption legend details summary center caption hgroup search dir select option optgroup textarea".split())
 CLOSES_P = SPACED | set("div section article aside header footer nav main address form figcaption details summary center dt dd li dir hgroup search".split())
 TABLE_PARTS = set("caption colgroup thead tbody tfoot tr td th".split())
 FENCE = {"table", "td", "th", "caption", "button", "object", "template", "html"}
@@ -130,13 +141,16 @@ def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 
 class _Page:
     def __init__(self) -> None:
-        self.stack: list[list] = []  # [name, hidden, state]
+        self.stack: list[list] = []  # [name, hidden, state, shown, realm of the content: svg, math or HTML ("")]
         self.open: dict[str, int] = {}  # how many elements of a name are open
         self.hidden = self.pre = 0
         self.boxes = [_Box()]
 
     # the stack ----------------------------------------------------------------------------
 
+    def realm(self) -> str:
+        return self.stack[-1][4] if self.stack else ""
+
     def find(self, names: set[str], fence: set[str]) -> int:
         if not any(map(self.open.get, names)):
             return -1
@@ -152,9 +166,16 @@ class _Page:
             self.pop()
 
     def start(self, name: str, attrs: str) -> None:
+        if self.realm():
+            if name not in BREAKOUT:
+                if not attrs.endswith("/"):
+                    self.push(f"{self.realm()}:{name}", attrs)
+                return
+            while self.realm():
+                self.pop()
         if name in ("html", "body"):
             return
-        if name != "head" and self.stack and self.stack[-1][0] == "head" and name not in RAW | VOID | {"template", "noscript"}:
+        if name != "head" and self.stack and self.stack[-1][0] == "head" and name not in (RAW - SHOWN_RAW) | VOID | {"template", "noscript"}:
             self.pop()  # the body is implied
         if name in CLOSES_P:
             self.close_from(self.find({"p"}, FENCE))
@@ -186,10 +207,13 @@ class _Page:
                 elif name == "hr":
                     self.boxes[-1].space(1)
             return
+        if name in FOREIGN and attrs.endswith("/"):
+            return
         self.push(name, attrs)
 
     def push(self, name: str, attrs: str) -> None:
-        hidden = name in HIDDEN
+        realm = self.realm()
+        hidden = name in HIDDEN or bool(realm) and name.partition(":")[2] in FOREIGN[realm]
         given: dict[str, str] = {}
         if attrs and not attrs.isspace():
             given = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)}
@@ -215,8 +239,10 @@ class _Page:
                 box.bullet = bullet
             elif name in ("blockquote", "dd"):
                 box.indent.append("  ")
-            elif name == "pre":
+            elif name in PRE:
                 self.pre += 1
+            elif name in ("svg:text", "math:mtd"):
+                box.text(" ", False)
             elif name == "table":
                 state = []
             elif name == "tr":
@@ -224,11 +250,12 @@ class _Page:
             elif name in ("td", "th", "caption"):
                 self.boxes.append(_Box())
                 state = (_span(given.get("colspan")), _span(given.get("rowspan")))
-        self.stack.append([name, hidden, state, not self.hidden])
+        realm = name if name in FOREIGN else "" if name in ISLANDS else realm
+        self.stack.append([name, hidden, state, not self.hidden, realm])
         self.open[name] = self.open.get(name, 0) + 1
 
     def pop(self) -> None:
-        name, hidden, state, shown = self.stack.pop()
+        name, hidden, state, shown, _ = self.stack.pop()
         self.open[name] -= 1
         if hidden:
             self.hidden -= 1
@@ -256,16 +283,22 @@ class _Page:
                 box.indent.pop()
                 if name == "li":
                     box.bullet = ""
-            elif name == "pre":
+            elif name in PRE:
                 self.pre -= 1
+        elif name in ("svg:text", "math:mtd"):
+            box.text(" ", False)
 
     def end(self, name: str) -> None:
+        i = max(self.find({f"{r}:{name}"}, set()) for r in FOREIGN)
+        if i > self.find({name}, FENCE):
+            self.close_from(i)
+            return
         if name in ("p", "br"):
             if name == "br" or self.find({"p"}, FENCE) < 0:
                 self.start(name, "")
         if name in TABLE_PARTS or name == "table":
             i = self.find({name}, {"table"} - {name})
-        elif name in BLOCK or name in HIDDEN:
+        elif name in BLOCK or name in HIDDEN or name in FOREIGN:
             i = self.find({name}, FENCE)
         else:  # an inline element may end across blocks, which stay open
             i = self.find({name}, FENCE | {"li"})
@@ -280,7 +313,7 @@ class _Page:
             return
         if self.stack and self.stack[-1][0] == "head":
             self.pop()
-        if self.hidden:
+        if self.hidden or self.realm() == "svg" and not self.open.get("svg:text"):
             return
         if self.stack and self.stack[-1][0] in ("table", "tbody", "thead", "tfoot", "tr"):
             if s.isspace():
@@ -300,8 +333,16 @@ def render(source: str | None) -> str:
     while at < len(source):
         if raw:  # everything up to the end tag is text of the raw element
             m = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(source, at)
-            at = m.start() if m else len(source)
-            raw = ""
+            end = m.start() if m else len(source)
+            if raw in SHOWN_RAW:
+                s = re.sub(r"\A\r?\n", "", source[at:end]) if raw == "textarea" else source[at:end]
+                page.text(entities.unescape(s) if raw == "textarea" else s)
+            at, raw = end, ""
+            continue
+        if page.realm() and source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            page.text(source[at + 9 : end if end >= 0 else len(source)])
+            at = end + 3 if end >= 0 else len(source)
             continue
         m = TOKEN.match(source, at)
         at = m.end()
@@ -315,8 +356,9 @@ def render(source: str | None) -> str:
             if m[1]:
                 page.end(name)
             else:
+                html = not page.realm()
                 page.start(name, m[3])
-                if name in RAW and not m[3].endswith("/"):
+                if html and name in RAW and (name in SHOWN_RAW or not m[3].endswith("/")):
                     raw = name
     return page.done()
 

@@ -49,6 +49,25 @@ def test_odd_html():
     assert html.render("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>") == "wide\na | b"
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds", "so x=2 holds"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style><script>no</script><text>One</text><text>Two <tspan>b</tspan></text>no</svg>c", "a One Two b c"),
+    ("<svg><title/><path d='M0'/><text>x</text></svg>y", "x y"),
+    ("<svg><text><![CDATA[a<b]]></text><foreignObject><p>in</p></foreignObject></svg>after", "a<b\n\nin\n\nafter"),
+    ("<svg><foreignObject><p>in</svg>after", "in\n\nafter"),
+    ("<svg/>a<p>b", "a\n\nb"), ("<math/>a", "a"), ("<svg><g><p>broken out", "broken out"), ("<svg><td>no<text>label</svg>b", "label b"),
+    ("<map name=m><p>in map</p><area></map>after", "in map\n\nafter"), ("<map>never closed<p>rest", "never closed\n\nrest"),
+    ("a<xmp>x <b>&amp;\n  y</xmp>b", "a\n\nx <b>&amp;\n  y\n\nb"), ("<xmp>open", "open"),
+    ("<textarea>\nl1 &amp;\n  <b>l2</textarea>b", "l1 &\n  <b>l2\nb"), ("<textarea/>x</textarea>y", "x\ny"),
+    ("pick<select><optgroup label=g><option>one<option>two</select>end", "pick\none\ntwo\nend"),
+    ("<div hidden><svg><text>no</text></svg><xmp>no</xmp><textarea>no</textarea></div>yes", "yes"),
+    ("<table><tr><td><svg><text>1</text></svg><td><math><mi>y</mi></math></table>", "1 | y"),
+    ("<svg><style>a{}</style></svg><style>p{}</style>t", "t"),
+])
+def test_html_of_every_shown_element(source, text):
+    assert html.render(source) == text
+
+
 def test_html_of_all_pages_keeps_every_visible_word(spark):
     """Words between tags, outside hidden elements, in order, are the words of the rendering without layout marks."""
     import re
