@@ -3,11 +3,19 @@
 A tree builder with implied tags keeps the stack of open elements; a renderer turns what is visible
 into lines: inline text with white space collapsed, blank lines between blocks, bullets and numbers
 for lists, and tables with aligned cells. Both are loops over one stack, so deep nesting is no
-recursion. Details are rendered open; alternative texts and form values are not text. Options are
-lines; text areas and xmp are preformatted; formulas and the labels of drawings are inline text, in the
-order of the source. Not text are what browsers keep for those that cannot show something better
-(noscript, object, audio, video, canvas, datalist, iframe, noembed, noframes), annotations of formulas,
-and titles, descriptions, definitions and text outside of text elements in drawings.
+recursion. Tags are read by the standard's tokenizer rules: a quote opens a string only as the first
+character of an attribute's value. ``display: none`` and ``hidden`` take a whole subtree away;
+``visibility`` is inherited and can be undone below; of details and dialogs that are not open only the
+summary shows. Alternative texts and form values are not text. Options are lines; text areas and xmp are
+preformatted; formulas and the labels of drawings are inline text, in the order of the source. Not text
+are what browsers keep for those that cannot show something better (noscript, object, audio, video,
+canvas, datalist, iframe, noembed, noframes), annotations of formulas, and titles, descriptions,
+definitions and text outside of text elements in drawings.
+
+Layout costs a bounded number of characters a line, so the result is linear in the page: indents grow
+to ``MOST_INDENT`` columns, a column of a table pads to ``WIDE``, a table's line is padded with at most
+``PAD`` characters in all, and cells of tables nested over ``DEEP`` deep stand one below the other. Text is
+never cut by this.
 """
 
 from __future__ import annotations
@@ -24,39 +32,85 @@ from .common import mapped
 
 #: Element classes of the HTML standard, as far as layout needs them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style xmp iframe noembed noframes textarea title".split())
+RAW = set("script style xmp iframe noembed noframes textarea title plaintext".split())
 HIDDEN = set("head script style template noscript iframe object audio video canvas datalist title noembed noframes".split())
-SHOWN_RAW = {"textarea", "xmp"}
+SHOWN_RAW = {"textarea", "xmp", "plaintext"}
 PRE = {"pre"} | SHOWN_RAW
 #: Elements whose content is not HTML, with what is not shown of it.
 FOREIGN = {"svg": set("title desc defs metadata style script".split()), "math": set("annotation annotation-xml style script".split())}
 #: Elements of foreign content that hold HTML again, and HTML elements that end foreign content.
 ISLANDS = set("svg:foreignobject svg:desc svg:title math:annotation-xml math:mi math:mo math:mn math:ms math:mtext".split())
 BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre xmp figure fieldset hr".split())
-BLOCK = SPACED | set("html body div section article aside header footer nav main address dt dd li form figcaption legend details summary center caption hgroup search dir select option optgroup textarea".split())
-CLOSES_P = SPACED | set("div section article aside header footer nav main address form figcaption details summary center dt dd li dir hgroup search".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre xmp plaintext figure fieldset hr".split())
+BLOCK = SPACED | set("html body div section article aside header footer nav main address dt dd li form figcaption legend details summary center caption hgroup search dialog dir select option optgroup textarea".split())
+CLOSES_P = SPACED | set("div section article aside header footer nav main address form figcaption details summary center dt dd li dialog dir hgroup search".split())
 TABLE_PARTS = set("caption colgroup thead tbody tfoot tr td th".split())
 FENCE = {"table", "td", "th", "caption", "button", "object", "template", "html"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: The most columns and rows that the standard lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+MOST_INDENT, WIDE, PAD, DEEP = 60, 60, 200, 8
+
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^>]++(?:>|\Z)|</>|[^<]++|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>][^\s>]*+))?+)?+", re.S)
+SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case with their values; of equal names the first counts."""
+    given: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        given.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return given
+
+
+def _self_closing(attrs: str) -> bool:
+    """If a tag's ``/`` ends it, rather than an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    last = None
+    for last in ATTRIBUTE.finditer(attrs):
+        pass
+    return last is None or last.end() < len(attrs)
+
+
+def _said(given: dict[str, str], foreign: bool) -> dict[str, str]:
+    """What an element says of its display and visibility, by attribute (in drawings) or style."""
+    said = {k: given[k].strip().lower() for k in ("display", "visibility") if k in given} if foreign else {}
+    strong: set[str] = set()
+    if "style" in given:
+        for m in SHOWS.finditer(re.sub(r"(?s)/\*.*?(?:\*/|\Z)", " ", given["style"])):
+            name = m[1].lower()
+            if m[3] or name not in strong:
+                said[name] = m[2].lower()
+                if m[3]:
+                    strong.add(name)
+    return said
+
+
 class _Box:
     """Lines being laid out: the page, or one table cell."""
 
-    __slots__ = ("blank", "bullet", "indent", "lines", "line")
+    __slots__ = ("blank", "bullet", "indent", "line", "lines", "width")
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.blank = 0
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.width = 0
         self.bullet = ""
 
+    def deepen(self, n: int) -> None:
+        self.indent.append(n)
+        self.width += n
+
+    def back(self) -> None:
+        self.width -= self.indent.pop()
+
     def text(self, s: str, pre: bool) -> None:
         if pre:
             first, *more = s.replace("\r\n", "\n").split("\n")
@@ -80,9 +134,9 @@ class _Box:
         if self.lines:
             self.lines += [""] * self.blank
         self.blank = 0
-        lead = "".join(self.indent)
+        lead = " " * min(self.width, MOST_INDENT)
         if self.bullet and s:
-            lead = lead[: len(lead) - len(self.bullet)] + self.bullet
+            lead = lead[: max(0, len(lead) - len(self.bullet))] + self.bullet
             self.bullet = ""
         self.lines.append((lead + s).rstrip(" \t"))
 
@@ -97,69 +151,111 @@ class _Box:
         return self.lines
 
 
-def _span(value: str | None) -> int:
-    return min(1000, max(1, int(value))) if value and value.isascii() and value.isdigit() else 1
+def _span(value: str | None, most: int) -> int:
+    return min(most, max(1, int(value[:9]))) if value and value.isascii() and value.isdigit() else 1
 
 
-def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """A table's rows of (lines, colspan, rowspan) as aligned text."""
-    taken: dict[int, int] = {}  # column -> rows it is still covered from above
-    grid: list[list[tuple[int, int, list[str]]]] = []
-    widths: dict[int, int] = {}
-    for row in rows:
-        at, placed = 0, []
-        covered = {c for c, n in taken.items() if n}
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
-        for lines, cols, deep in row:
-            while at in covered:
-                at += 1
+def _columns(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Every row's cells as (first column, columns, lines); a column that a cell above still covers is passed over."""
+    covered: list[list[int]] = []  # [first column, column after the last, row after the last], in order, none touching
+    out = []
+    for r, row in enumerate(rows):
+        covered = [x for x in covered if x[2] > r]
+        at, k, placed, deep = 0, 0, [], []
+        for lines, cols, tall in row:
+            while k < len(covered) and covered[k][0] <= at:
+                at = max(at, covered[k][1])
+                k += 1
             placed.append((at, cols, lines))
-            if cols == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            if deep > 1:
-                taken.update({c: deep - 1 for c in range(at, at + cols)})
+            if tall > 1:
+                deep.append([at, at + cols, r + tall])
             at += cols
-        grid.append(placed)
-    used = sorted({c for row in grid for c, _, _ in row} | set(widths))
+        if deep:
+            joined: list[list[int]] = []
+            for x in sorted(covered + deep):
+                if joined and joined[-1][1] == x[0] and joined[-1][2] == x[2]:
+                    joined[-1][1] = x[1]
+                else:
+                    joined.append(x)
+            covered = joined
+        out.append(placed)
+    return out
+
+
+def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """A table's rows of (lines, colspan, rowspan) as aligned text, with at most ``PAD`` characters of padding a line."""
+    grid = _columns(rows)
+    starts = sorted({c for row in grid for c, _, _ in row})
+    widths = dict.fromkeys(starts, 0)
+    for row in grid:
+        for c, cols, lines in row:
+            if cols == 1:
+                widths[c] = max(widths[c], min(WIDE, max(map(len, lines), default=0)))
+    place = {c: i for i, c in enumerate(starts)}
+    offset = [0]  # where each column that some cell starts in begins, if all is padded
+    for c in starts:
+        offset.append(offset[-1] + widths[c] + 3)
     out = []
     for row in grid:
-        height = max((len(x) for _, _, x in row), default=0)
-        by = {c: (cols, lines) for c, cols, lines in row}
-        for i in range(height):
-            parts, skip = [], -1
-            for c in used:
-                if c <= skip:
+        by_line: list[list[tuple[int, str]]] = []
+        for c, _, lines in row:
+            for i, x in enumerate(lines):
+                if i == len(by_line):
+                    by_line.append([])
+                by_line[i].append((place[c], x))
+        for cells in by_line:
+            parts: list[str] = []
+            left, at, end = PAD, 0, 0  # padding left, columns passed, end of the last cell's text
+            for c, x in cells:
+                if not x:
                     continue
-                cols, lines = by.get(c, (1, []))
-                inside = [x for x in used if c <= x < c + cols]
-                room = sum(widths.get(x, 0) for x in inside) + 3 * (len(inside) - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                skip = c + cols - 1
-            out.append(" | ".join(parts).rstrip())
+                gap = offset[c] - end
+                if gap < 3 * (c > 0):
+                    parts.append(" | " if parts else "")
+                    gap = 0
+                elif gap <= left:
+                    left -= gap
+                    for j in range(at, c):  # the separators of the columns between
+                        parts.append(" " * (offset[j + 1] - 3 - max(end, offset[j])) + " | ")
+                        end = offset[j + 1]
+                elif parts:
+                    parts.append(" | ")
+                parts.append(x)
+                at, end = c, max(end, offset[c]) + len(x)
+            if parts:
+                out.append("".join(parts).rstrip())
     return [x for x in out if x.strip(" |")]
 
 
+class _Element:
+    __slots__ = ("delta", "name", "realm", "shown", "state", "visible")
+
+    def __init__(self, name: str, delta: int, state: object, shown: bool, visible: bool, realm: str) -> None:
+        self.name, self.delta, self.state, self.shown, self.visible, self.realm = name, delta, state, shown, visible, realm
+
+
 class _Page:
+    """The stack of open elements, and the boxes being filled. ``realm`` of an element's content is svg, math or HTML ("")."""
+
     def __init__(self) -> None:
-        self.stack: list[list] = []  # [name, hidden, state, shown, realm of the content: svg, math or HTML ("")]
-        self.open: dict[str, int] = {}  # how many elements of a name are open
-        self.hidden = self.pre = 0
+        self.stack: list[_Element] = []
+        self.at: dict[str, list[int]] = {}  # where on the stack the elements of a name are
+        self.blocks: list[int] = []  # where the blocks are
+        self.hidden = self.pre = self.tables = 0
         self.boxes = [_Box()]
 
     # the stack ----------------------------------------------------------------------------
 
     def realm(self) -> str:
-        return self.stack[-1][4] if self.stack else ""
+        return self.stack[-1].realm if self.stack else ""
+
+    def visible(self) -> bool:
+        return not self.stack or self.stack[-1].visible
 
     def find(self, names: set[str], fence: set[str]) -> int:
-        if not any(map(self.open.get, names)):
-            return -1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                return i
-            if self.stack[i][0] in fence:
-                return -1
-        return -1
+        """Where the last open element of these names is, or -1 if an element of the fence is above it."""
+        i = max([own[-1] for n in names if (own := self.at.get(n))], default=-1)
+        return i if i >= 0 and i >= max([own[-1] for n in fence if (own := self.at.get(n))], default=-1) else -1
 
     def close_from(self, i: int) -> None:
         while i >= 0 and len(self.stack) > i:
@@ -168,18 +264,18 @@ class _Page:
     def start(self, name: str, attrs: str) -> None:
         if self.realm():
             if name not in BREAKOUT:
-                if not attrs.endswith("/"):
+                if not _self_closing(attrs):
                     self.push(f"{self.realm()}:{name}", attrs)
                 return
             while self.realm():
                 self.pop()
         if name in ("html", "body"):
             return
-        if name != "head" and self.stack and self.stack[-1][0] == "head" and name not in (RAW - SHOWN_RAW) | VOID | {"template", "noscript"}:
+        if name != "head" and self.stack and self.stack[-1].name == "head" and name not in (RAW - SHOWN_RAW) | VOID | {"template", "noscript"}:
             self.pop()  # the body is implied
         if name in CLOSES_P:
             self.close_from(self.find({"p"}, FENCE))
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and self.stack and re.fullmatch("h[1-6]", self.stack[-1][0]):
+        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and self.stack and re.fullmatch("h[1-6]", self.stack[-1].name):
             self.pop()
         if name == "li":
             self.close_from(self.find({"li"}, FENCE | {"ul", "ol", "menu"}))
@@ -192,12 +288,12 @@ class _Page:
             if table < 0:
                 return  # a table part outside a table is no element
             last = {"td": {"tr"}, "th": {"tr"}, "tr": {"tbody", "thead", "tfoot"}}.get(name, set())
-            while len(self.stack) > table + 1 and self.stack[-1][0] not in last:
+            while len(self.stack) > table + 1 and self.stack[-1].name not in last:
                 self.pop()
-            if name == "tr" and self.stack[-1][0] == "table":
+            if name == "tr" and self.stack[-1].name == "table":
                 self.push("tbody", "")
-            elif name in ("td", "th") and self.stack[-1][0] != "tr":
-                if self.stack[-1][0] == "table":
+            elif name in ("td", "th") and self.stack[-1].name != "tr":
+                if self.stack[-1].name == "table":
                     self.push("tbody", "")
                 self.push("tr", "")
         if name in VOID:
@@ -207,21 +303,31 @@ class _Page:
                 elif name == "hr":
                     self.boxes[-1].space(1)
             return
-        if name in FOREIGN and attrs.endswith("/"):
+        if name in FOREIGN and _self_closing(attrs):
             return
         self.push(name, attrs)
 
     def push(self, name: str, attrs: str) -> None:
-        realm = self.realm()
-        hidden = name in HIDDEN or bool(realm) and name.partition(":")[2] in FOREIGN[realm]
+        realm, visible = self.realm(), self.visible()
+        delta = int(name in HIDDEN or bool(realm) and name.partition(":")[2] in FOREIGN[realm])
         given: dict[str, str] = {}
         if attrs and not attrs.isspace():
-            given = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)}
-            hidden = hidden or "hidden" in given or bool(GONE.search(given.get("style", "")))
-        state: object = None
-        if hidden:
-            self.hidden += 1
-        if not self.hidden:
+            given = _attributes(attrs)
+            said = _said(given, bool(realm) or name in FOREIGN)
+            delta = int(delta or (said["display"] == "none" if "display" in said else "hidden" in given))
+            if said.get("visibility") in ("hidden", "collapse"):
+                visible = False
+            elif said.get("visibility") in ("visible", "initial"):
+                visible = True
+        above = self.stack[-1] if self.stack else None
+        if name == "dialog" and "open" not in given:
+            delta = 1
+        elif name == "summary" and above and above.name == "details" and above.state == "closed":
+            above.state = "summed up"
+            delta -= above.delta  # shown although what surrounds it is not
+        self.hidden += delta
+        shown, state = not self.hidden, None
+        if shown:
             box = self.boxes[-1]
             if name in BLOCK:
                 box.space(1 if name in SPACED and not (name in ("ul", "ol", "menu") and box.indent) else 0)
@@ -230,57 +336,72 @@ class _Page:
                 state = [int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1]
             elif name == "li":
                 top = self.find({"ul", "ol", "menu"}, FENCE)
-                count = self.stack[top][2] if top >= 0 and self.stack[top][0] == "ol" else None
+                count = self.stack[top].state if top >= 0 and self.stack[top].name == "ol" else None
                 bullet = "- "
                 if count:
                     bullet = f"{count[0]}. "
                     count[0] += 1
-                box.indent.append(" " * len(bullet))
-                box.bullet = bullet
+                box.deepen(len(bullet))
+                box.bullet = bullet if visible else ""
             elif name in ("blockquote", "dd"):
-                box.indent.append("  ")
+                box.deepen(2)
             elif name in PRE:
                 self.pre += 1
             elif name in ("svg:text", "math:mtd"):
                 box.text(" ", False)
             elif name == "table":
-                state = []
+                self.tables += 1
+                state = [] if self.tables <= DEEP else None
+            elif self.tables > DEEP and name in ("td", "th", "caption"):
+                box.flush()
             elif name == "tr":
                 state = []
             elif name in ("td", "th", "caption"):
                 self.boxes.append(_Box())
-                state = (_span(given.get("colspan")), _span(given.get("rowspan")))
+                state = (_span(given.get("colspan"), MOST_COLUMNS), _span(given.get("rowspan"), MOST_ROWS))
+            if name == "details" and "open" not in given:
+                self.hidden += 1
+                delta, state = delta + 1, "closed"
         realm = name if name in FOREIGN else "" if name in ISLANDS else realm
-        self.stack.append([name, hidden, state, not self.hidden, realm])
-        self.open[name] = self.open.get(name, 0) + 1
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(_Element(name, delta, state, shown, visible, realm))
 
     def pop(self) -> None:
-        name, hidden, state, shown, _ = self.stack.pop()
-        self.open[name] -= 1
-        if hidden:
-            self.hidden -= 1
-        if not shown:
+        e = self.stack.pop()
+        name = e.name
+        if not name:
+            return  # it ended before
+        self.at[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        self.hidden -= e.delta
+        if not e.shown:
             return
         box = self.boxes[-1]
-        if name in ("td", "th", "caption"):
+        if name in ("td", "th", "caption") and e.state is None:
+            box.flush()
+        elif name in ("td", "th", "caption"):
             lines = self.boxes.pop().done()
             table = self.find({"tr"} if name != "caption" else {"table"}, set())
-            if table >= 0 and isinstance(self.stack[table][2], list):
-                self.stack[table][2].append((lines, *state) if name != "caption" else [(lines, 1000, 1)])
+            if table >= 0 and isinstance(self.stack[table].state, list):
+                self.stack[table].state.append((lines, *e.state) if name != "caption" else [(lines, MOST_COLUMNS, 1)])
         elif name == "tr":
             table = self.find({"table"}, set())
-            if table >= 0 and state:
-                self.stack[table][2].append(state)
+            if table >= 0 and e.state and isinstance(self.stack[table].state, list):
+                self.stack[table].state.append(e.state)
         elif name == "table":
             box.space(1)
-            for line in _laid_out(state):
+            for line in _laid_out(e.state or []):
                 box.line = [line]
                 box.flush()
             box.blank = 1
+            self.tables -= 1
         elif name in BLOCK:
             box.space(1 if name in SPACED and not (name in ("ul", "ol", "menu") and box.indent) else 0)
             if name in ("li", "blockquote", "dd"):
-                box.indent.pop()
+                box.back()
                 if name == "li":
                     box.bullet = ""
             elif name in PRE:
@@ -302,20 +423,24 @@ class _Page:
             i = self.find({name}, FENCE)
         else:  # an inline element may end across blocks, which stay open
             i = self.find({name}, FENCE | {"li"})
-            if i >= 0 and any(x[0] in BLOCK for x in self.stack[i + 1 :]):
-                self.hidden -= self.stack.pop(i)[1]
-                self.open[name] -= 1
+            if i >= 0 and self.blocks and self.blocks[-1] > i:
+                e = self.stack[i]
+                self.hidden -= e.delta
+                self.at[name].pop()
+                e.name, e.delta = "", 0
                 return
         self.close_from(i)
 
     def text(self, s: str) -> None:
-        if self.hidden and not (self.stack and self.stack[-1][0] == "head" and not s.isspace()):
-            return
-        if self.stack and self.stack[-1][0] == "head":
+        top = self.stack[-1] if self.stack else None
+        if top and top.name == "head":
+            if s.isspace():
+                return
             self.pop()
-        if self.hidden or self.realm() == "svg" and not self.open.get("svg:text"):
+            top = self.stack[-1] if self.stack else None
+        if self.hidden or not self.visible() or self.realm() == "svg" and not self.at.get("svg:text"):
             return
-        if self.stack and self.stack[-1][0] in ("table", "tbody", "thead", "tfoot", "tr"):
+        if top and top.name in ("table", "tbody", "thead", "tfoot", "tr"):
             if s.isspace():
                 return
             self.boxes[-1].text(s, False)  # text between cells is moved before the table
@@ -332,7 +457,7 @@ def render(source: str | None) -> str:
     page, raw, at, source = _Page(), "", 0, source or ""
     while at < len(source):
         if raw:  # everything up to the end tag is text of the raw element
-            m = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(source, at)
+            m = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(source, at) if raw != "plaintext" else None
             end = m.start() if m else len(source)
             if raw in SHOWN_RAW:
                 s = re.sub(r"\A\r?\n", "", source[at:end]) if raw == "textarea" else source[at:end]
@@ -358,7 +483,7 @@ def render(source: str | None) -> str:
             else:
                 html = not page.realm()
                 page.start(name, m[3])
-                if html and name in RAW and (name in SHOWN_RAW or not m[3].endswith("/")):
+                if html and name in RAW and (name in SHOWN_RAW or not _self_closing(m[3])):
                     raw = name
     return page.done()
 
