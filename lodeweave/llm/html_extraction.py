@@ -255,7 +255,9 @@ class _Page:
     def find(self, names: set[str], fence: set[str]) -> int:
         """Where the last open element of these names is, or -1 if an element of the fence is above it."""
         i = max([own[-1] for n in names if (own := self.at.get(n))], default=-1)
-        return i if i >= 0 and i >= max([own[-1] for n in fence if (own := self.at.get(n))], default=-1) else -1
+        if i < 0 or not fence:
+            return i
+        return i if i >= max([own[-1] for n in fence if (own := self.at.get(n))], default=-1) else -1
 
     def close_from(self, i: int) -> None:
         while i >= 0 and len(self.stack) > i:
@@ -410,10 +412,11 @@ class _Page:
             box.text(" ", False)
 
     def end(self, name: str) -> None:
-        i = max(self.find({f"{r}:{name}"}, set()) for r in FOREIGN)
-        if i > self.find({name}, FENCE):
-            self.close_from(i)
-            return
+        if any(self.at.get(r) for r in FOREIGN):
+            i = max(self.find({f"{r}:{name}"}, set()) for r in FOREIGN)
+            if i > self.find({name}, FENCE):
+                self.close_from(i)
+                return
         if name in ("p", "br"):
             if name == "br" or self.find({"p"}, FENCE) < 0:
                 self.start(name, "")

@@ -3,7 +3,7 @@
 An archive starts with a skippable frame (0x184D2A5D) that holds the dictionary; every record is one
 frame. Spark's text writer puts the bytes out, so any file system that Spark writes serves, and a
 lost task leaves no half file: each row is a frame, and the line separator is an empty skippable
-frame (0x184D2A50, length 0), which readers pass over.
+frame (0x184D2A50, length 0), which readers pass over. The finished files are named ``*.warc.zst``.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, mapped, shared_dir
+from .common import P, mapped, shared_dir, written
 
 DICT_MAGIC, PAD_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", PAD_MAGIC, 0)  # eight bytes below 0x80, so it is text too
 DATE = "1970-01-01T00:00:00Z"
 DICT_BYTES = 1 << 16  # size of the dictionary
-DICT_SAMPLES = 256  # pages it is trained on
-LARGEST = 1 << 30  # a record that says it is longer is refused
+DICT_SAMPLES, SAMPLE_CHARS = 256, 1 << 14  # pages it is trained on, and how much of each
+BROADCAST_ROWS = 1 << 20  # repeated payloads whose (digest, key) rows, some 100 bytes each, are broadcast
+WINDOW = 1 << 12, 1 << 20  # bytes of an archive given to the decoder at a time: at first, at most
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,14 +41,13 @@ def dictionary_frame(data: bytes) -> bytes:
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of at most ``DICT_BYTES``, or none if the samples are too few to train one."""
-    total = sum(map(len, samples))
-    if len(samples) < 16 or total < 1 << 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, total // 8), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    """A dictionary of at most ``DICT_BYTES``; records of made-up pages stand beside the samples, so few or no samples will do as well."""
+    made = []
+    for i in range(64):
+        page = "".join(f"<p>{hashlib.sha1(b'%d %d' % (i, j)).hexdigest()}</p>\n<a href=\"https://www.example.org/{i}/{j}\">{j}</a>\n" for j in range(16))
+        data = f"<!DOCTYPE html>\n<html><head><title>{i}</title></head><body>{page}</body></html>".encode()
+        made.append(record("response", i, f"https://www.example.org/{i}", data, hashlib.sha1(data).hexdigest(), None))
+    return zstandard.train_dictionary(min(DICT_BYTES, (sum(map(len, samples)) + sum(map(len, made))) // 8), samples + made).as_bytes()
 
 
 def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -98,48 +98,70 @@ def parse_record(data: bytes) -> dict:
     return found
 
 
-def frames(data: bytes, largest: int = LARGEST) -> Iterator[bytes]:
-    """The records of an archive, one frame at a time, with the dictionary of its leading skippable frame."""
-    at, shared, first = 0, None, True
-    view = memoryview(data)
-    while at < len(data):
-        if len(data) - at < 8:
+def frames(data: bytes | memoryview) -> Iterator[bytes]:
+    """The records of an archive, one frame at a time, with the dictionary of its leading skippable frame.
+
+    The decoder gets windows of the archive, so finding a frame's end copies no more than a window and
+    an archive takes time in proportion to its length.
+    """
+    at, first, view = 0, True, memoryview(data)
+    decoder = zstandard.ZstdDecompressor()
+    while at < len(view):
+        if len(view) - at < 8:
             raise WarcError("the archive ends within a frame")
-        magic, length = struct.unpack_from("<II", data, at)
+        magic, length = struct.unpack_from("<II", view, at)
         if magic == DICT_MAGIC and first or 0x184D2A50 <= magic <= 0x184D2A5F and magic != DICT_MAGIC:
-            if at + 8 + length > len(data):
+            if at + 8 + length > len(view):
                 raise WarcError("the archive ends within a skippable frame")
             if magic == DICT_MAGIC:
                 raw = bytes(view[at + 8 : at + 8 + length])
                 if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=largest)
-                shared = zstandard.ZstdCompressionDict(raw)
+                    raw = _frame(decoder, memoryview(raw), 0)[0]
+                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
             at += 8 + length
         elif magic == FRAME_MAGIC:
-            said = zstandard.frame_content_size(view[at : at + 18])
-            if said > largest:
-                raise WarcError("a record is too long")
-            one = (zstandard.ZstdDecompressor(dict_data=shared) if shared else zstandard.ZstdDecompressor()).decompressobj()
-            try:
-                out = one.decompress(view[at:])
-            except zstandard.ZstdError as e:
-                raise WarcError(str(e)) from e
-            if not one.eof or (said >= 0 and len(out) != said):
-                raise WarcError("the archive ends within a record")
-            at = len(data) - len(one.unused_data)
+            out, at = _frame(decoder, view, at)
             yield out
         else:
             raise WarcError(f"no frame starts at byte {at}")
         first = False
 
 
+def _frame(decoder: zstandard.ZstdDecompressor, view: memoryview, at: int) -> tuple[bytes, int]:
+    """(content of the frame that starts at ``at``, where it ends)."""
+    try:
+        said = zstandard.frame_content_size(view[at : at + 18])
+        one, parts, window = decoder.decompressobj(), [], WINDOW[0]
+        while not one.eof:
+            if at >= len(view):
+                raise WarcError("the archive ends within a record")
+            parts.append(one.decompress(view[at : at + window]))
+            at += len(view[at : at + window])
+            window = min(2 * window, WINDOW[1])
+    except zstandard.ZstdError as e:
+        raise WarcError(str(e)) from e
+    out = b"".join(parts)
+    if said >= 0 and len(out) != said:
+        raise WarcError("a record is not as long as its frame says")
+    return out, at - len(one.unused_data)
+
+
+def _files(spark, pattern: str) -> tuple:
+    """(file system, statuses of the files) of a pattern, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, list(fs.globStatus(path) or [])
+
+
 def write_archives(pages: DataFrame, key: str, url: str, html: str, path: str, shortest: int = 1000) -> None:
     """Write one record per row under ``path``, one archive per partition.
 
     Of rows with equal payloads of at least ``shortest`` bytes the one with the largest key is the
-    response, the others revisit it. Only (digest, largest key) of repeated payloads moves; the pages
-    join it, by broadcast while it is small, else in a sort-merge join whose hot digests Spark splits.
-    A null html is an empty payload, a null url an empty target, a null key an empty record id (never
+    response, the others revisit it. (digest, largest key) of the repeated payloads is written and
+    counted: up to ``BROADCAST_ROWS`` rows go to the pages, so that no payload is shuffled; beyond that
+    pages and rows meet in a sort-merge join, which moves every payload once and whose hot digests Spark
+    splits. The dictionary is trained on the pages with the least hashes of their keys, so a rerun gives
+    the same one, and every archive has one. A null html is an empty payload, a null url an empty target, a null key an empty record id (never
     the response of a group that has a key); two rows with equal keys and payloads are both
     responses; an empty table gives no archive.
     """
@@ -149,17 +171,20 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, path: str, s
     groups = rows.filter(F.length(P + "p") >= shortest).groupBy(P + "d").agg(F.max(P + "k").alias(P + "r"), F.count(F.lit(1)).alias(P + "n"))
     groups = groups.filter((F.col(P + "n") > 1) & F.col(P + "r").isNotNull()).select(F.col(P + "d").alias(P + "d2"), P + "r")
     revisit = F.col(P + "r").isNotNull() & ~F.col(P + "k").eqNullSafe(F.col(P + "r")) & (F.length(P + "p") >= shortest)
+    groups = written(groups, "repeats")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups.hint("merge")
     kept = rows.join(groups, F.col(P + "d") == F.col(P + "d2"), "left").select(P + "k", P + "u", P + "p", P + "d", F.when(revisit, F.col(P + "r")).alias(P + "r"))
-    samples = [r[0].encode() for r in pages.filter(F.col(html).isNotNull()).select(F.substring(html, 1, 1 << 14)).take(DICT_SAMPLES)]
-    shared = spark.sparkContext.broadcast(train_dictionary(samples))
+    chosen = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.substring(html, 1, SAMPLE_CHARS).alias("s"))
+    samples = [r.s.encode() for r in chosen.orderBy("h", "k", "s").limit(DICT_SAMPLES).collect()]
+    shared = spark.sparkContext.broadcast(train_dictionary([x for x in samples if x]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw))
         opened = False
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                out = [] if opened or not raw else [dictionary_frame(raw)]
+                out = [] if opened else [dictionary_frame(raw)]
                 opened = True
                 for k, u, p, d, r in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     out.append(packer.compress(record("response" if r is None else "revisit", k, u, p, d.hex(), r)))
@@ -167,20 +192,27 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, path: str, s
 
     packed = mapped(kept, run, "frame binary")
     packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(path)
+    fs, made = _files(spark, f"{path}/part-*.txt")
+    for f in made:  # a rename is a step of the name node; a reader takes either name
+        name = f.getPath().toString().removesuffix(".txt") + ".warc.zst"
+        fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(name))
 
 
-def read_archives(pages_path: str, spark, key_type: str = "bigint") -> DataFrame:
-    """The records under a folder: key, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+def read_archives(path: str, spark, key_type: str = "bigint") -> DataFrame:
+    """The records of the archives that a path pattern names: key, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    Each archive is read by one task and decoded frame by frame; what does not hold raises WarcError.
+    Each archive is read by one task as one value of Spark's binary source (under 2 GB) and decoded
+    record by record; what does not hold raises WarcError. No archive gives no rows; an empty record id
+    is a null key; repeated records are rows of their own; a record may be as long as memory allows.
     """
+    columns = "key string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
                 found: list[dict] = []
                 size = 0
-                for one in frames(data.as_buffer().to_pybytes()):
+                for one in frames(memoryview(data.as_buffer())):
                     found.append(parse_record(one))
                     size += len(one)
                     if size > 1 << 23 or len(found) >= 2000:
@@ -188,8 +220,10 @@ def read_archives(pages_path: str, spark, key_type: str = "bigint") -> DataFrame
                         found, size = [], 0
                 yield _rows(found)
 
-    files = spark.read.format("binaryFile").load(pages_path).select("content")
-    out = mapped(files, run, "key string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    if _files(spark, path)[1]:
+        out = mapped(spark.read.format("binaryFile").load(path).select("content"), run, columns)
+    else:
+        out = spark.createDataFrame([], columns)
     return out.withColumns({"key": F.when(F.col("key") != "", F.col("key").cast(key_type)), "refers_to": F.col("refers_to").cast(key_type)})
 
 
@@ -202,12 +236,9 @@ def archive_round_trip(pages: DataFrame, key: str, url: str, html: str, path: st
     """Write the pages as archives (in the shared folder unless ``path`` says where) and read them back.
 
     A partition makes one archive, and a reader holds one archive at once; scan partitions are bounded
-    by ``spark.sql.files.maxPartitionBytes``.
+    by ``spark.sql.files.maxPartitionBytes``. Odd rows are as in ``write_archives``.
     """
-    path = path or f"{shared_dir(pages.sparkSession)}/lw-warc-{uuid.uuid4().hex}"
-    write_archives(pages, key, url, html, path)
     spark = pages.sparkSession
-    kind = pages.schema[key].dataType.simpleString()
-    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path + "/part-*")):
-        return spark.createDataFrame([], f"{key} {kind}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
-    return read_archives(path + "/part-*", spark, kind).withColumnRenamed("key", key)
+    path = path or f"{shared_dir(spark)}/lw-warc-{uuid.uuid4().hex}"
+    write_archives(pages, key, url, html, path)
+    return read_archives(path + "/part-*", spark, pages.schema[key].dataType.simpleString()).withColumnRenamed("key", key)

@@ -114,6 +114,36 @@ def test_dictionary_is_read_from_the_leading_frame():
             list(warc.frames(broken))
 
 
+def test_reading_is_linear_and_keeps_long_records():
+    import os
+    import time
+
+    raw = warc.train_dictionary([])
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    pages = [os.urandom(3000) for _ in range(8000)] + [os.urandom(1 << 24), b"z" * (1 << 26)]
+    records = [warc.record("response", i, "u", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(pages)]
+    whole = warc.dictionary_frame(raw) + b"".join(packer.compress(x) + warc.SEPARATOR for x in records)
+    began = time.time()
+    assert [x == y for x, y in zip(warc.frames(whole), records, strict=True)] == [True] * len(records)
+    assert time.time() - began < 10  # 40 MB; handing the rest of the archive to every record takes minutes
+
+
+def test_archives_of_odd_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, "<p>" + "long " * 1_000_000), (2, "u", "<p>" + "long " * 1_000_000), (2, "u", "short"), (2, "u", "short"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("key", "payload", "refers_to", "frame", "content", "value")})
+    for name, limit in (("a", warc.BROADCAST_ROWS), ("b", 0)):
+        warc_rows, warc.BROADCAST_ROWS = warc.BROADCAST_ROWS, limit
+        try:
+            out = warc.archive_round_trip(df.repartition(2), "page_id", "url", "html", str(tmp_path / name)).collect()
+        finally:
+            warc.BROADCAST_ROWS = warc_rows
+        assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in out) == [("1", 5_000_003, "revisit", 2), ("2", 5, "response", None), ("2", 5, "response", None), ("2", 5_000_003, "response", None), ("None", 0, "response", None)]
+    assert all(f.name.endswith(".warc.zst") for f in (tmp_path / "a").iterdir() if f.name.startswith("part-"))
+    assert warc.read_archives(str(tmp_path / "nowhere" / "part-*"), spark).count() == 0
+
+
 def test_bad_records_are_refused():
     good = warc.record("response", 1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     assert warc.parse_record(good)["payload"] == b"abc"
