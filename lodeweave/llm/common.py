@@ -55,15 +55,18 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], rank: str
     """Add the 0-based ``rank`` of each row in its group (all rows if ``group`` is empty), and the group's ``count``.
 
     One range shuffle on (group, order), so a group of any size spreads over many tasks; what meets
-    in one task is a row per (task, group). The ranked rows are written before the offsets are
-    counted, because a range shuffle that runs twice may cut elsewhere. ``order`` should be total;
-    equal rows are interchangeable.
+    in one task is a row per (task, group). The rows are written first, because a range shuffle reads
+    its input twice (it samples), and the ranked rows are written before the offsets are counted,
+    because a range shuffle that runs twice may cut elsewhere. Rows equal in ``order`` (null keys, say)
+    are told apart by their place in the written rows, so they spread as well; which of them comes
+    first is not fixed. Pass narrow rows.
     """
     spark = df.sparkSession
-    pid, seq, base, n, lo = (P + x for x in ("pid", "seq", "base", "n", "lo"))
-    keys = [F.col(c) for c in group] + [F.col(c) if isinstance(c, str) else c for c in order]
+    pid, seq, base, n, lo, place = (P + x for x in ("pid", "seq", "base", "n", "lo", "place"))
+    keys = [F.col(c) for c in group] + [F.col(c) if isinstance(c, str) else c for c in order] + [F.col(place)]
+    columns, df = df.columns, written(df, "narrow").withColumn(place, F.monotonically_increasing_id())
     dealt = df.repartitionByRange(parallelism(spark), *keys).sortWithinPartitions(*keys)
-    dealt = written(dealt.withColumn(pid, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "rank")
+    dealt = written(dealt.drop(place).withColumn(pid, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "rank")
     sums = dealt.groupBy(pid, *group).agg(F.count(F.lit(1)).alias(n), F.min(seq).alias(lo))
     from pyspark.sql import Window
 
@@ -76,7 +79,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], rank: str
     same = F.col(f"a.{pid}") == F.col(f"b.{pid}")
     for c in group:
         same = same & F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
-    kept = [F.col(f"a.`{c}`") for c in df.columns]
+    kept = [F.col(f"a.`{c}`") for c in columns]
     out = [*kept, (F.col(seq) + F.col(base)).alias(rank)] + ([F.col(f"b.{count}")] if count else [])
     return a.join(b, same, "inner").select(*out)
 

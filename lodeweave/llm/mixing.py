@@ -2,17 +2,18 @@
 
 Each source gets a target number of words. Its documents are put in an order, every document's
 expected copies (target / source size) are prefix-summed along it, one random offset per source is
-added, and a document is emitted once per integer boundary its interval crosses. The order is by
-size, then by a seeded hash, so the words taken differ from the target by no more than about the
-source's largest document; the offset is the best of a few seeded draws, which brings small sources
-nearer still.
+added, and a document is emitted once per integer boundary its interval crosses. Sums are whole numbers,
+so no boundary is lost to rounding. The order is by size, then by a seeded hash, so the words taken
+differ from the target by no more than about the source's largest document; whatever the order, a
+document's expected number of copies is target / source size.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, ranked
@@ -49,7 +50,7 @@ def fill_targets(sizes: list[int], weights: list[int], total: int, most: int) ->
 
 
 def source_targets(docs: DataFrame, source: str, size: str, weights: list[int], share: float = 1.0, most: int = 3) -> DataFrame:
-    """(source, source_size, target, rate): one row per source.
+    """(source, source_size, target, and target / source_size as num / den): one row per source.
 
     Sources in code-point order, null last, take the weights in turn. What reaches the driver is one
     row per source of the mixture, which somebody has to weigh; it does not grow with the documents.
@@ -60,11 +61,12 @@ def source_targets(docs: DataFrame, source: str, size: str, weights: list[int],
     sizes = [int(r.n or 0) for r in rows]
     total = int(Fraction(share) * sum(sizes))
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], total, most)
-    data = [(r.s, n, float(t), float(t / n) if n else 0.0) for r, n, t in zip(rows, sizes, targets, strict=True)]
-    return spark.createDataFrame(data, f"{P}source string, source_size long, target double, {P}rate double")
+    rates = [t / n if n else Fraction(0) for n, t in zip(sizes, targets, strict=True)]
+    data = [(r.s, n, float(t), Decimal(x.numerator), Decimal(x.denominator)) for r, n, t, x in zip(rows, sizes, targets, rates, strict=True)]
+    return spark.createDataFrame(data, f"{P}source string, source_size long, target double, {P}num decimal(19,0), {P}den decimal(19,0)")
 
 
-def mix_counts(docs: DataFrame, source: str, size: str, key: str, weights: list[int], share: float = 1.0, most: int = 3, seed: int = 11, draws: int = 32) -> DataFrame:
+def mix_counts(docs: DataFrame, source: str, size: str, key: str, weights: list[int], share: float = 1.0, most: int = 3, seed: int = 11) -> DataFrame:
     """Every row of ``docs`` plus source_size, target and ``copies`` (how often the mixture holds it).
 
     Nulls: a null source is a source of its own, a null size counts 0 and a null key is ordered by
@@ -77,24 +79,24 @@ def mix_counts(docs: DataFrame, source: str, size: str, key: str, weights: list[
     docs = docs.withColumn(tie, F.xxhash64(F.lit(seed), F.col(key)))
     placed = ranked(docs, [source], [size, tie, key], rank)
     goals = source_targets(placed, source, size, weights, share, most)
-    at, rate, draw = F.col(rank).cast("double"), F.col(P + "rate"), P + "draw"
+    joined = placed.join(F.broadcast(goals), F.col(source).eqNullSafe(F.col(P + "source")), "left").drop(P + "source")
+    # The offset: a whole number of den-ths in [0, den), from the seed and the source's name.
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(source)), F.lit(1 << 40))
+    joined = joined.withColumn(P + "draw", draw).withColumn(P + "offset", F.expr(f"cast((cast({P}draw as decimal(13,0)) * {P}den) div {1 << 40} as decimal(19,0))"))
 
-    def copies(offset):
-        return (F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)).cast("long")
+    def boundaries(n: str) -> Column:
+        """Integer boundaries that the first ``n`` documents of the source cross."""
+        return F.expr(f"(cast({n} as decimal(18,0)) * {P}num + {P}offset) div {P}den")
 
-    def offset(i):  # in [0, 1), from the seed, the source's name and the number of the draw
-        return F.pmod(F.xxhash64(F.lit(seed), i, F.col(source)), F.lit(1 << 40)) / float(1 << 40)
-
-    joined = placed.join(goals, F.col(source).eqNullSafe(F.col(P + "source")), "left").drop(P + "source")
-    # A few seeded draws of the one offset; the source keeps the one whose words come nearest to its target.
-    taken = [F.struct(F.abs(F.sum(copies(offset(F.lit(i))) * F.coalesce(F.col(size), F.lit(0))) - F.first("target")).alias("miss"), F.lit(i).alias("i")) for i in range(draws)]
-    best = joined.groupBy(F.col(source).alias(P + "source")).agg(F.array_min(F.array(*taken))["i"].alias(draw))
-    joined = joined.join(best, F.col(source).eqNullSafe(F.col(P + "source")), "left")
-    return joined.withColumn("copies", copies(offset(F.col(draw)))).drop(tie, rank, draw, P + "source", P + "rate")
+    joined = joined.withColumn("copies", boundaries(f"{rank} + 1") - boundaries(rank))
+    return joined.drop(tie, rank, P + "num", P + "den", P + "offset", P + "draw")
 
 
 def mixed(docs: DataFrame, source: str, size: str, key: str, weights: list[int], **options) -> DataFrame:
-    """The mixture itself: every document as many times as it was drawn, with the columns of ``docs``."""
+    """The mixture itself: every document as many times as it was drawn, with the columns of ``docs``.
+
+    Nulls, empty texts, repeated rows, empty tables and clashing columns are as in ``mix_counts``.
+    """
     drawn = mix_counts(docs, source, size, key, weights, **options)
     times = F.sequence(F.lit(1), F.col("copies"))
     return drawn.filter("copies > 0").withColumn(P + "copy", F.explode(times)).select(*[c for c in docs.columns if c in drawn.columns])
