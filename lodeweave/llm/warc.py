@@ -174,8 +174,9 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, path: str, s
     groups = written(groups, "repeats")
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups.hint("merge")
     kept = rows.join(groups, F.col(P + "d") == F.col(P + "d2"), "left").select(P + "k", P + "u", P + "p", P + "d", F.when(revisit, F.col(P + "r")).alias(P + "r"))
-    chosen = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.substring(html, 1, SAMPLE_CHARS).alias("s"))
-    samples = [r.s.encode() for r in chosen.orderBy("h", "k", "s").limit(DICT_SAMPLES).collect()]
+    known = pages.filter(F.col(html).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.substring(html, 1, SAMPLE_CHARS).alias("s"))
+    least = known.select("h").orderBy("h").limit(DICT_SAMPLES).agg(F.max("h")).first()[0]  # only hashes meet here, not texts
+    samples = [r.s.encode() for r in known.filter(F.col("h") <= F.lit(least)).orderBy("h", "k", "s").limit(DICT_SAMPLES).collect()]
     shared = spark.sparkContext.broadcast(train_dictionary([x for x in samples if x]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
