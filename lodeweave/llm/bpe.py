@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 MARK = "\ue000"  # stands for the end-of-word suffix while a word is being read
-MEMO = 80_000  # entries in one generation of a worker's memo
+MEMO_BYTES = 24 << 20  # about what one generation of a worker's memo takes
+MEMO_KEY = 256  # longer keys are not remembered
 ARCS = 200_000  # settled arcs a worker remembers
 SHIFT = 1 << 20
 
@@ -46,18 +47,21 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A function's results, remembered for two generations of ``MEMO`` entries: what is used again stays."""
+    """A function's results, remembered for two generations of ``MEMO_BYTES``: what is used again stays."""
 
     def __init__(self, function) -> None:
         super().__init__()
-        self.function, self.old = function, {}
+        self.function, self.old, self.size = function, {}, 0
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.function(key)
         found = self.old.get(key)
         if found is None:
             found = self.function(key)
-        if len(self) >= MEMO:
-            self.old = dict(self)
+        self.size += 240 + 12 * len(key)  # key, value and place; a value has at most an id and a label for every letter
+        if self.size > MEMO_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = found
         return found
@@ -309,37 +313,40 @@ class Encoder:
     def prefix_counts(self, text: str) -> list[int]:
         """Token count of every prefix of ``text`` by code points (length + 1 numbers); byte-level files.
 
-        Whole pieces are summed and the automaton's prefix table of a piece answers inside it. Two
-        kinds of cut change how the text before them splits: one that ends in white space makes that
-        run one piece, which has a table of its own, and one inside a contraction or a special
-        token's string is encoded from the last white space on.
+        Whole pieces are summed and the automaton's prefix table of a piece answers inside it. What a cut
+        changes in how the text before it splits is local: one that ends in white space makes that run
+        one piece, which has a table of its own; one inside a contraction leaves its first letters, which
+        are encoded by themselves; one inside a special token's string leaves letters that belong to the
+        last chunks before it, which are encoded with them. So the time grows with the text.
         """
         table, space = self._table, re.compile(rf"[{SPACE}]+")
         out, base, pos = [0], 0, 0
+        tail, before = "", 0  # the last chunks before a special token, and the count before them
         for stretch, special in self.parts(text):
             if special >= 0:
-                out += [len(self.encode(text[: pos + n])) for n in range(1, len(stretch))]
+                out += [before + len(self.encode(tail + stretch[:n])) for n in range(1, len(stretch))]
                 base += 1
                 pos += len(stretch)
                 out.append(base)
+                tail, before = "", base
                 continue
-            piece_start = pos
-            for piece in self._whole_pieces(stretch):
-                if piece[0] == "'" and len(piece) > 1:
-                    out += [len(self.encode(text[: piece_start + n])) for n in range(1, len(piece))] + [base + table(piece)[-1]]
-                else:
-                    out += [base + c for c in table(piece)[1:]]
-                base = out[-1]
-                piece_start += len(piece)
+            counts = [base]
+            chunks = self.split(stretch)
+            for chunk in chunks:
+                for piece in self.pieces(chunk):
+                    if piece[0] == "'" and len(piece) > 1:
+                        out += [base + len(self.ids(piece[:n])) for n in range(1, len(piece))] + [base + table(piece)[-1]]
+                    else:
+                        out += [base + c for c in table(piece)[1:]]
+                    base = out[-1]
+                counts.append(base)
             for run in space.finditer(stretch):
                 a, own = pos + run.start(), table(run[0])
                 out[a + 1 : a + 1 + len(run[0])] = [out[a] + c for c in own[1:]]
             pos += len(stretch)
+            tail, before = "".join(chunks[-2:]), counts[-3] if len(chunks) > 1 else counts[0]
         return out
 
-    def _whole_pieces(self, stretch: str) -> list[str]:
-        return [p for chunk in self.split(stretch) for p in self.pieces(chunk)]
-
     def _table(self, piece: str) -> list[int]:
         """Token counts of a piece's prefixes by code points."""
         by_byte = self.automaton.prefixes(self.spelled(piece))[0]
@@ -361,40 +368,43 @@ def encoder(path: str) -> Encoder:
 
 
 def count_tokens(text: str, path: str, limit: int) -> tuple[int, int]:
-    """(tokens of the whole text, code points of the longest run of whole chunks within ``limit`` tokens)."""
+    """(tokens of the whole text, code points of its longest prefix of at most ``limit`` tokens).
+
+    No token crosses a chunk's end, so that prefix ends in the chunk that goes over the limit or in a
+    special token's string; the prefix table of the chunks around answers inside them.
+    """
     enc = encoder(path)
-    total, fits, at = 0, 0, 0
+    total, at, fits = 0, 0, -1
+    last: list[tuple[int, int]] = [(0, 0)]  # (code points, tokens) before the last chunks and here
     for stretch, special in enc.parts(text):
-        if special >= 0:
-            total += 1
-            at += len(stretch)
-            if total <= limit:
-                fits = at
-            continue
-        chunks = enc.split(stretch)
-        counts = [enc.counted[c] for c in chunks]
-        if total + sum(counts) <= limit:
-            total += sum(counts)
-            at += len(stretch)
-            fits = at
-        else:
-            if total <= limit:
-                run, pos = total, at
-                for c, n in zip(chunks, counts, strict=True):
-                    run += n
-                    if run > limit:
-                        break
-                    pos += len(c)
-                    fits = pos
-            total += sum(counts)
-            at += len(stretch)
-    return total, fits
+        chunks = [stretch] if special >= 0 else enc.split(stretch)
+        counts = [1] if special >= 0 else [enc.counted[c] for c in chunks]
+        if fits < 0 and total + sum(counts) <= limit:
+            if special >= 0:
+                last = last[-2:] + [(at + len(stretch), total + 1)]
+            else:
+                end, n = at + len(stretch), total + sum(counts)
+                rear = [(end - sum(map(len, chunks[i:])), n - sum(counts[i:])) for i in (-2, -1) if len(chunks) >= -i]
+                last = (last + rear)[-3:] + [(end, n)]
+        elif fits < 0:
+            run, pos = total, at
+            for c, n in zip(chunks, counts, strict=True):
+                if run + n > limit:
+                    start, before = last[max(0, len(last) - 3)]
+                    inside = enc.prefix_counts(text[start : pos + len(c)])
+                    fits = start + max(i for i, x in enumerate(inside) if before + x <= limit and (i or before <= limit))
+                    break
+                run, pos = run + n, pos + len(c)
+                last = last[-3:] + [(pos, run)]
+        total += sum(counts)
+        at += len(stretch)
+    return total, fits if fits >= 0 else at
 
 
 def token_counts(docs: DataFrame, key: str, text: str, path: str, limit: int = 1024) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit and fits_chars per row; counts are of whole texts.
 
-    ``fits_chars`` is the length of the longest prefix, in whole chunks, of at most ``limit`` tokens.
+    ``fits_chars`` is the length of the longest prefix of at most ``limit`` tokens, from the prefix tables.
     Null texts count as empty (0 tokens); repeated rows and null keys pass through; an empty table
     gives no rows; other columns are not read. ``path`` names a byte-level BPE file that every
     worker can read.

@@ -32,6 +32,35 @@ def test_every_prefix_count_equals_the_library():
         assert own.prefix_counts(t) == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], repr(t)
 
 
+def test_longest_prefix_within_a_limit_equals_the_library():
+    lib, own = tokenizers.Tokenizer.from_file(BYTES), bpe.encoder(BYTES)
+    for t in texts(120):
+        counts = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        for limit in {0, 1, 2, 3, 5, 8, counts[-1] // 2, max(0, counts[-1] - 1), counts[-1]}:
+            total, fits = bpe.count_tokens(t, BYTES, limit)
+            assert total == counts[-1] and fits == max(i for i, c in enumerate(counts) if c <= limit), (t, limit)
+    assert own.prefix_counts("") == [0] and bpe.count_tokens("", BYTES, 3) == (0, 0)
+
+
+def test_prefix_counts_are_linear():
+    import time
+
+    own, began = bpe.encoder(BYTES), time.time()
+    for t in ("don't we'll <|endoftext|> x" * 4000, "it's" * 20_000, "a" * 50_000, "word " * 20_000, "<|endoftext|>" * 4000):
+        found = own.prefix_counts(t)
+        assert len(found) == len(t) + 1 and found[-1] == sum(bpe.count_tokens(t, BYTES, 1)[:1])
+    assert time.time() - began < 60
+
+
+def test_memos_are_bounded_and_forget_nothing_they_need(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    calls = []
+    memo = bpe.Memo(lambda k: calls.append(k) or len(k))
+    for i in range(5000):
+        assert memo[f"key {i}"] == len(f"key {i}") and memo["often"] == 5
+    assert calls.count("often") == 1 and len(memo) + len(memo.old) < 200 and memo["x" * 1000] == 1000 and "x" * 1000 not in memo
+
+
 def test_automaton_accepts_what_merging_gives():
     """All short words over a small alphabet, merged pair by pair in rank order."""
     import itertools
