@@ -43,6 +43,11 @@ def spearman_p(rho: float, n: int) -> float | None:
     return t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
+def normal_two_sided(z: float) -> float:
+    """P(|Z| >= |z|) of the standard normal."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
 def average_ranks(values: list[float]) -> list[float]:
     order = sorted(range(len(values)), key=values.__getitem__)
     out = [0.0] * len(values)

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of its own is set only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a folder of its own. A cluster without the setting raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
     own = tempfile.mkdtemp(prefix="lw-shared-")
     atexit.register(shutil.rmtree, own, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")

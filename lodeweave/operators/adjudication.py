@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "␟"
@@ -44,6 +44,20 @@ def adjudicate(pairs: DataFrame, cache: DataFrame, judge: Callable[[str, str], t
     return known.unionByName(new)
 
 
+#: Node types that state something.
+CLAIM_TYPES = ["Claim", "Limitation"]
+
+
+def is_comparable(kind: Column, name: Column) -> Column:
+    """If a node can take part in a contradiction: it states something and has a name."""
+    return F.coalesce(kind.isin(CLAIM_TYPES) & (F.trim(name) != ""), F.lit(False))
+
+
+def can_conflict(a_id: Column, a_paper: Column, b_id: Column, b_paper: Column) -> Column:
+    """If two statements may be in tension: different nodes of different papers, both known."""
+    return F.coalesce((a_id != b_id) & (a_paper != b_paper), F.lit(False))
+
+
 def contradiction_edges(found: DataFrame) -> DataFrame:
     """Accepted verdicts as edges; the similarity is their confidence, the reason their evidence."""
     kept = found.filter(F.col("verdict").isin("refutes", "undercuts"))

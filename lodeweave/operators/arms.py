@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding
 from ..functions import text as T
+from ..functions.storage import written
 from . import graph, retrieval
 
 MAX_RETRIEVALS, TOP_K, MAX_GAPS, DRAFT_CHARS = 6, 20, 2, 24_000
@@ -182,22 +183,23 @@ def agentic_arm(lib: Library, queries: DataFrame, budget: int = MAX_RETRIEVALS,
         hits = retrieval.search(asked.select("qid", "vector"), lib.chunks, top_k, "fulltext")
         return asked.select("key", "qid").join(hits, "qid").select("key.qid", "key.batch", "id", "rank")
 
-    before = run(steps)
+    steps = written(steps, "steps")
+    before = written(run(steps), "before")  # retrievals are read several times below
     found = before
     drafts = retrieval.evidence(retrieval.with_handles(_text(lib, retrieval.merge_hits(before)))).select("qid", "evidence")
     used = steps.groupBy("qid").agg(F.count(F.lit(1)).alias("used"))
     state = planned.join(used, "qid").join(drafts, "qid", "left")
     wanted = F.array().cast("array<string>")
     if critique:
-        state = state.withColumn("gaps", gaps("text", "evidence"))
+        state = written(state.withColumn("gaps", gaps("text", "evidence")), "state")
         left = F.greatest(F.lit(0), F.lit(budget) - F.col("used"))
         wanted = F.slice("gaps", F.lit(1), left)
         state = state.withColumn("refused", F.greatest(F.lit(0), F.size("gaps") - left))
         more = state.select("qid", F.posexplode(wanted).alias("n", "text")).select("qid", (F.col("n") + 100).alias("batch"), "text")
-        found = before.unionByName(run(more))
+        found = written(before.unionByName(run(more)), "found")
     else:
         state = state.withColumns({"gaps": wanted, "refused": F.lit(0)})
-    merged = _text(lib, retrieval.merge_hits(found))
+    merged = written(_text(lib, retrieval.merge_hits(found)), "merged")
     answers = synthesize(lib, queries, merged)
     papers = lambda h, name: _text(lib, h).groupBy("qid").agg(F.array_sort(F.collect_set("paper")).alias(name))
     trace = state.join(papers(before, "papers_before"), "qid", "left").join(papers(found, "papers_after"), "qid", "left")

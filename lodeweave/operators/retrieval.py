@@ -10,35 +10,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.storage import written
 
-#: Queries are held in memory in blocks of so many.
-QUERY_BLOCK = 2048
+#: Queries go out in broadcasts of about so many bytes, and are compared in blocks of so many.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
 #: Digits of a similarity that count; equal vectors then tie whatever the order of summation.
 DIGITS = 9
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column as unit rows; a zero, null or empty vector is a row of zeros."""
+    n = len(vectors)
+    if vectors.null_count == 0 and n:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(flat) % n == 0 and len(set(np.unique(pa.compute.list_value_length(vectors).to_numpy()))) == 1:
+            return _unit(flat.reshape(n, -1))
+    rows = [v.as_py() or [] for v in vectors]
+    dim = max(map(len, rows), default=0)
+    return _unit(np.array([r or [0.0] * dim for r in rows], np.float64).reshape(n, dim))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(length == 0, 1.0, length)
+
+
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest per row, the first columns on a tie, without -inf."""
+    if sims.shape[1] > k:
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k][:, None]
+        above, tie = sims > least, sims == least
+        keep = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)))
+    else:
+        keep = np.ones(sims.shape, bool)
+    return np.nonzero(keep & (sims > -np.inf))
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, within: str | None = None, skip_self: bool = False, k_of: str | None = None) -> DataFrame:
     """(qid, id, raw, rank): the k items with the greatest cosine to every query, ties by id.
 
     ``queries`` has qid and vector, ``items`` id and vector; with ``within`` both have that column and
-    only equal values meet. Queries go out in blocks of ``QUERY_BLOCK``; every item batch answers a
-    block by one matrix product and sends on its own k best, so a scan of the items needs no join
-    and shuffles k rows per batch and query. Zero vectors are like nothing (0).
+    only equal values meet. Queries go out in broadcasts of ``QUERY_BYTES``, one scan of the items for
+    each; every item batch answers them in blocks by matrix products and sends on its own k best, so no
+    join is needed and k rows per batch and query are shuffled. Zero vectors are like nothing (0).
     """
     spark = items.sparkSession
-    rows = queries.select("qid", "vector", *([within] if within else [])).orderBy("qid").toLocalIterator()
+    rows = queries.select("qid", "vector", *([within] if within else [])).orderBy("qid").toLocalIterator(prefetchPartitions=True)
     kind = dict(queries.dtypes)["qid"], dict(items.dtypes)["id"]
-    parts: list[DataFrame] = []
-    block: list = []
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.sqrt((m * m).sum(1, keepdims=True))
-        return m / np.where(length == 0, 1.0, length)
 
     def scan(block: list) -> DataFrame:
-        ids = [r["qid"] for r in block]
+        ids = np.array([r["qid"] for r in block])
         groups = np.array([r[within] for r in block]) if within else None
-        shared = spark.sparkContext.broadcast((ids, unit(np.array([r["vector"] for r in block], np.float64)), groups))
+        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r["vector"] for r in block], np.float64)), groups))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q, qgroups = shared.value
@@ -46,29 +69,30 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, within: str | None = N
                 for at in range(0, b.num_rows, 4096):
                     part = b.slice(at, 4096)
                     own = part.column(0).to_numpy(zero_copy_only=False)
-                    v = unit(np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1))
-                    if not len(own):
-                        continue
-                    sims = np.round(q @ v.T, DIGITS)
-                    if qgroups is not None:
-                        sims[qgroups[:, None] != part.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                    if skip_self:
-                        sims[np.array(qids)[:, None] == own[None, :]] = -np.inf
-                    keep_q, keep_i = [], []
-                    for i in range(len(qids)):
-                        order = np.lexsort((own, -sims[i]))[:k]
-                        order = order[sims[i][order] > -np.inf]
-                        keep_q += [i] * len(order)
-                        keep_i += order.tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in keep_q]), pa.array(own[keep_i]), pa.array(sims[keep_q, keep_i].astype(np.float64))], ["qid", "id", "raw"])
+                    order = np.argsort(own, kind="stable")
+                    own, v = own[order], _matrix(part.column(1))[order]
+                    theirs = part.column(2).to_numpy(zero_copy_only=False)[order] if qgroups is not None else None
+                    for i in range(0, len(qids), QUERY_BLOCK):
+                        some = slice(i, i + QUERY_BLOCK)
+                        sims = np.round(q[some] @ v.T, DIGITS)
+                        if qgroups is not None:
+                            sims[qgroups[some][:, None] != theirs[None, :]] = -np.inf
+                        if skip_self:
+                            sims[qids[some][:, None] == own[None, :]] = -np.inf
+                        r, c = _best(sims, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[some][r]), pa.array(own[c]), pa.array(sims[r, c])], ["qid", "id", "raw"])
 
         return items.select("id", "vector", *([within] if within else [])).mapInArrow(run, f"qid {kind[0]}, id {kind[1]}, raw double")
 
+    parts: list[DataFrame] = []
+    block: list = []
+    size = 0
     for r in rows:
         block.append(r)
-        if len(block) == QUERY_BLOCK:
+        size += 8 * len(r["vector"]) + 64
+        if size >= QUERY_BYTES:
             parts.append(scan(block))
-            block = []
+            block, size = [], 0
     if block:
         parts.append(scan(block))
     if not parts:
@@ -117,19 +141,37 @@ def merge_hits(batches: DataFrame) -> DataFrame:
     return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("seen", "id"))).select("qid", "id", "rank")
 
 
+#: Distinct query terms that filter inside a document's array; with more, terms meet in a semi-join.
+MOST_TERMS = 20_000
+
+
+def _held_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, dl, term, tf): for every document a row with its number of terms (term null), and its counts of the wanted terms.
+
+    The wanted terms are counted first. While they are few they filter each document's array, so only
+    what a query asks for becomes rows; otherwise all terms do and meet them in a semi-join.
+    """
+    distinct = wanted.select("term").distinct()
+    terms = docs.select("id", T.search_terms(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t")
+    if distinct.count() <= MOST_TERMS:
+        asked = [r.term for r in distinct.collect()]
+        terms = terms.withColumn("t", F.filter("t", lambda x: x.isin(asked)))
+        return terms.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = terms.select("id", "dl", F.explode("t").alias("term")).join(distinct, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.unionByName(terms.select("id", "dl", F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 12, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, id, score, rank) for docs (id, text) and queries (qid, text).
 
     Terms meet in an equi-join on the term; df and length are aggregates over all documents.
     """
-    terms = docs.select("id", F.explode(T.search_terms(F.col("text"))).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.select("id", F.size(T.search_terms(F.col("text"))).alias("dl"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("qid", F.explode(T.search_terms(F.col("text"))).alias("term")).distinct()
-    held = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = written(queries.select("qid", F.explode(T.search_terms(F.col("text"))).alias("term")).distinct(), "wanted")
+    held = written(_held_terms(docs, wanted), "terms")  # terms are found once; what follows reads a narrow table
+    total = held.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    held = held.filter("term is not null")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = held.join(df, "term").join(length, "id").join(wanted, "term").join(F.broadcast(total))
+    found = held.join(df, "term").join(wanted, "term").join(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -139,7 +181,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 12, k1: float = 1.5,
 def best_snippets(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, pos, hits): per query and document the chunk with the most distinct query terms, the first on a tie."""
     q = queries.select("qid", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
-    c = chunks.select("id", "pos", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
+    c = _held_terms(chunks.select(F.struct("id", "pos").alias("id"), "text"), q).filter("term is not null").select("id.id", "id.pos", "term")
     hits = c.join(q, "term").groupBy("qid", "id", "pos").agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy("qid", "id").agg(F.max(F.struct("hits", (-F.col("pos")).alias("back"))).alias("best"))
     return best.select("qid", "id", (-F.col("best.back")).cast("long").alias("pos"), F.col("best.hits").alias("hits"))

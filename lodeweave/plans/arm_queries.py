@@ -16,6 +16,7 @@ from ..functions import embedding
 from ..functions import text as T
 from ..functions.storage import shared_dir
 from ..operators import adjudication, arms, chunking
+from ..sources import vectors
 from ..streaming import ingest
 from . import text_queries
 from .text_queries import table
@@ -39,7 +40,7 @@ def _library(spark, d) -> arms.Library:
     short = F.char_length(F.trim("text")) < chunking.MIN_CHUNK  # such a document has no chunk; it is one
     whole = docs.filter(short).select(F.concat(paper, F.lit("::whole")).alias("id"), paper.alias("paper"), "text", F.lit("other").alias("section_type"))
     chunks = packed.unionByName(whole).join(docs.select(paper.alias("paper"), corpus.alias("corpus")), "paper")
-    chunks = chunks.select("id", "paper", "text", embedding.hash_embed(F.col("text")).alias("vector"), "corpus", "section_type", F.char_length("text").cast("bigint").alias("n_chars"))
+    chunks = chunks.select("id", "paper", "text", "corpus", "section_type")
     layer = F.lit("curated").alias("source_layer")
     passages = _passages(docs)
     first = passages.filter("n = 0").select(F.col("doc_id"), "passage")
@@ -53,6 +54,7 @@ def _library(spark, d) -> arms.Library:
     ids = docs.select(F.col("doc_id").alias("cited"))
     cites = docs.filter("doc_id > 1").select("doc_id", F.explode(F.array(F.expr("doc_id div 2"), F.expr("doc_id div 3"))).alias("cited")).filter("cited <> doc_id").join(ids, "cited", "left_semi")
     cites = cites.select(F.concat(F.lit("paper:"), paper).alias("src"), F.concat(F.lit("paper:"), F.col("cited").cast("string")).alias("dst"), F.lit("cites").alias("type"), conf, layer).distinct()
+    chunks = vectors.build_vectors(chunks, embedding.hash_embed, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}").load()
     return arms.Library(chunks, papers.unionByName(claims).unionByName(methods), stated.unionByName(made).unionByName(cites))
 
 
@@ -106,5 +108,6 @@ def stream_dedup_ingest(spark, d):
 
 QUERIES = {f.__name__: f for f in (*map(_arm, [a for a in arms.ARMS if a != "agentic"]), agentic_answer, staged_plan, hash_embed, folded_names, adjudicated_pairs, stream_dedup_ingest)}
 ORACLE_SQL = {
+    "adjudicated_pairs": f"WITH k AS ({text_queries.ORACLE_SQL['knn_selfjoin_pairs']}) SELECT CASE WHEN a % 3 = 0 THEN 'refutes' ELSE 'undercuts' END AS type, count(*) AS n FROM k WHERE a % 3 = 0 OR length(a::VARCHAR) = length(b::VARCHAR) GROUP BY 1",
     "stream_dedup_ingest": "SELECT DISTINCT user_id || ':' || event_type AS key FROM events",
 }

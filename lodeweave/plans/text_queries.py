@@ -10,8 +10,16 @@ from ..functions import vectors as V
 from ..operators import chunking, retrieval
 
 
+#: A table of texts this small may be one row group, which one task reads.
+ONE_SPLIT = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A fixture table. Documents that fit one split are dealt out to all cores; larger ones have splits enough and are not moved."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= ONE_SPLIT:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
