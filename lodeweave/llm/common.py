@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written
 
-__all__ = ["P", "finish", "mapped", "parallelism", "ranked", "release", "shared_dir", "shingles_of", "texts_of", "words_of", "written"]
+__all__ = ["P", "finish", "join_counted", "mapped", "parallelism", "ranked", "release", "shared_dir", "shingles_of", "texts_of", "words_of", "written"]
 
 #: Internal columns start with this; caller columns must not.
 P = "__lw_"
@@ -84,6 +84,20 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], rank: str
     return a.join(b, same, "inner").select(*out)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, of: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key, ``of``: how many of the rows have it) without a hot key in one task.
+
+    Keys that hold more than an eighth of a partition's share are fewer than eight per partition whatever
+    the data, so they are broadcast; the others meet in a shuffle join. ``table`` should be written.
+    """
+    most = 8 * parallelism(rows.sparkSession)
+    total = table.agg(F.sum(of)).first()[0] or 0
+    hot = F.col(of) > total // most
+    near = rows.join(F.broadcast(table.filter(hot)), key)
+    far = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot), key)
+    return near.unionByName(far)
+
+
 # Word hashes ---------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

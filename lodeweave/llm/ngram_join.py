@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, parallelism, ranked, release, shingles_of, texts_of, words_of, written
+from .common import join_counted, mapped, parallelism, ranked, release, shingles_of, texts_of, words_of, written
 
 BLOCK = 256  # classes in a block; a task compares two blocks
 COLUMNS = 4096  # shingles in a fragment of a task's order
@@ -292,17 +292,17 @@ def jaccard_components(docs: DataFrame, key: str, text: str, k: int, num: int, d
 
     # Exact order: how many of these classes hold a shingle, then its hash. Shingles of one class alone link nothing.
     posts = sets.select("c1", "n", F.explode("grams").alias("g"))
-    held = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = written(posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "held")
     # One number carries the order: 16 bits of the count, 48 of the hash; what falls together here only adds candidates.
     place = F.shiftleft(F.least(F.col("df"), F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("g", 16))
-    kept = posts.join(held, "g").groupBy("c1", "n").agg(F.sort_array(F.collect_list(place)).alias("order"))
+    kept = join_counted(posts, held, "g", "df").groupBy("c1", "n").agg(F.sort_array(F.collect_list(place)).alias("order"))
     need = F.expr(f"(n * {num} + {den - 1}) div {den}")
     # The first n - need + 1 of the order, less the n - size(order) shingles that come first and are the class's alone.
     first = F.expr("size(order)") - need + 1
     lead = kept.filter(first > 0).select("c1", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("g"))
     lead = written(lead, "lead")
-    least = lead.groupBy("g").agg(F.min("c1").alias("m"), F.count(F.lit(1)).alias("of")).filter("of > 1")
-    near = lead.join(least, "g").filter("c1 != m").select("c1", "m").distinct()
+    least = written(lead.groupBy("g").agg(F.min("c1").alias("m"), F.count(F.lit(1)).alias("of")).filter("of > 1"), "least")
+    near = join_counted(lead, least, "g", "of").filter("c1 != m").select("c1", "m").distinct()
     cluster = connected(near, "c1", "m")
 
     # Blocks of a cluster by set size; two blocks meet only if their sizes allow a link.
