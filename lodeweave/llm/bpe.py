@@ -19,7 +19,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 MARK = "\ue000"  # stands for the end-of-word suffix while a word is being read
-MEMO_BYTES = 24 << 20  # about what one generation of a worker's memo takes
+MEMO_BYTES = 32 << 20  # about what one generation of a worker's memo takes
 MEMO_KEY = 256  # longer keys are not remembered
 ARCS = 200_000  # settled arcs a worker remembers
 SHIFT = 1 << 20
@@ -54,11 +56,11 @@ class Memo(dict):
         self.function, self.old, self.size = function, {}, 0
 
     def __missing__(self, key):
-        if len(key) > MEMO_KEY:
-            return self.function(key)
         found = self.old.get(key)
         if found is None:
             found = self.function(key)
+            if len(key) > MEMO_KEY:
+                return found
         self.size += 240 + 12 * len(key)  # key, value and place; a value has at most an id and a label for every letter
         if self.size > MEMO_BYTES:
             self.old, self.size = dict(self), 0
@@ -379,24 +381,19 @@ def count_tokens(text: str, path: str, limit: int) -> tuple[int, int]:
     for stretch, special in enc.parts(text):
         chunks = [stretch] if special >= 0 else enc.split(stretch)
         counts = [1] if special >= 0 else [enc.counted[c] for c in chunks]
-        if fits < 0 and total + sum(counts) <= limit:
-            if special >= 0:
-                last = last[-2:] + [(at + len(stretch), total + 1)]
-            else:
-                end, n = at + len(stretch), total + sum(counts)
-                rear = [(end - sum(map(len, chunks[i:])), n - sum(counts[i:])) for i in (-2, -1) if len(chunks) >= -i]
-                last = (last + rear)[-3:] + [(end, n)]
+        n = sum(counts)
+        if fits < 0 and total + n <= limit:
+            rear = [(at + len(stretch) - sum(map(len, chunks[i:])), total + n - sum(counts[i:])) for i in (-2, -1) if special < 0 and len(chunks) >= -i]
+            last = (last + rear)[-3:] + [(at + len(stretch), total + n)]
         elif fits < 0:
-            run, pos = total, at
-            for c, n in zip(chunks, counts, strict=True):
-                if run + n > limit:
-                    start, before = last[max(0, len(last) - 3)]
-                    inside = enc.prefix_counts(text[start : pos + len(c)])
-                    fits = start + max(i for i, x in enumerate(inside) if before + x <= limit and (i or before <= limit))
-                    break
-                run, pos = run + n, pos + len(c)
-                last = last[-3:] + [(pos, run)]
-        total += sum(counts)
+            sums = list(accumulate(counts, initial=total))
+            over = bisect_right(sums, limit) - 1  # the chunk that goes over
+            ends = list(accumulate(map(len, chunks[: over + 1]), initial=at))
+            last = (last[-3:] + list(zip(ends, sums, strict=False))[max(1, over - 3) : over + 1])[-4:]
+            start, before = last[max(0, len(last) - 3)]
+            inside = enc.prefix_counts(text[start : ends[-1]])
+            fits = start + max(i for i, x in enumerate(inside) if before + x <= limit)
+        total += n
         at += len(stretch)
     return total, fits if fits >= 0 else at
 
