@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 MARK = "\ue000"  # stands for the end-of-word suffix while a word is being read
-MEMO_BYTES = 32 << 20  # about what one generation of a worker's memo takes
-MEMO_KEY = 256  # longer keys are not remembered
+MEMO = 80_000  # entries in one generation of a worker's memo
+MEMO_KEY = 256  # longer keys are not remembered, so that entries bound bytes
 ARCS = 200_000  # settled arcs a worker remembers
 SHIFT = 1 << 20
 
@@ -49,11 +49,11 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A function's results, remembered for two generations of ``MEMO_BYTES``: what is used again stays."""
+    """A function's results, remembered for two generations of ``MEMO`` entries: what is used again stays."""
 
     def __init__(self, function) -> None:
         super().__init__()
-        self.function, self.old, self.size = function, {}, 0
+        self.function, self.old = function, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
@@ -61,9 +61,8 @@ class Memo(dict):
             found = self.function(key)
             if len(key) > MEMO_KEY:
                 return found
-        self.size += 240 + 12 * len(key)  # key, value and place; a value has at most an id and a label for every letter
-        if self.size > MEMO_BYTES:
-            self.old, self.size = dict(self), 0
+        if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
         self[key] = found
         return found

@@ -53,7 +53,7 @@ def test_prefix_counts_are_linear():
 
 
 def test_memos_are_bounded_and_forget_nothing_they_need(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "MEMO", 60)
     calls = []
     memo = bpe.Memo(lambda k: calls.append(k) or len(k))
     for i in range(5000):
