@@ -10,7 +10,8 @@ settled arcs stay in the transition table.
 
 A word's encoding is the one accepted path that spells it. Every prefix of a word has one such path
 too, and a prefix's path is the path of a shorter prefix plus one arc, so a left-to-right table
-over prefixes finds it in one pass and holds the token count of every prefix on the way.
+over prefixes finds it in one pass and holds the token count of every prefix on the way. The labels
+that end at each letter come from a matcher over all labels, compiled once per worker.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from struct import pack
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -84,11 +87,11 @@ class Automaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, self.ids[own(a)], self.ids[own(b)], self.ids[own(a + b)])
         self.table: dict[tuple[int, int], bool] = {}
-        self.spell: dict[str, int] = {}  # each token's id, and -1 for what only begins a token
+        self.reader = ahocorasick.Automaton()  # finds every token that ends at a letter, the longest first
         for t, i in self.ids.items():
-            for n in range(1, len(t)):
-                self.spell.setdefault(t[:n], -1)
-            self.spell[t] = i
+            if self.made[i] >= 0 or len(t) == 1 + t.endswith(MARK):
+                self.reader.add_word(t, (i, len(t)))
+        self.reader.make_automaton()
         self.labels = {i: t for t, i in vocab.items()}
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
@@ -119,72 +122,43 @@ class Automaton:
                 return True
 
     def prefixes(self, word: str) -> tuple[list[int], list[int], list[int]]:
-        """For every prefix length of ``word``: its token count (-1 if no path), last token and that token's start."""
-        n, spell, known, fill = len(word), self.spell.get, self.table.get, self._fill
+        """For every prefix length of ``word``: its token count (-1 if no path), last token and that token's start.
+
+        One token at most may end a prefix after the path of the prefix before it, so the tokens that end
+        at a letter are tried until one may, and the time is linear in the word's length.
+        """
+        n, known, fill = len(word), self.table.get, self._fill
         count, last, start = [-1] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        count[0] = 0
-        for j in range(n):
-            c = count[j] + 1
-            if not c:
+        count[0] = settled = 0
+        for i, (t, size) in self.reader.iter(word):
+            i += 1
+            if i == settled:
                 continue
-            u = last[j]
-            row = u * SHIFT
-            for i in range(j + 1, n + 1):
-                t = spell(word[j:i])
-                if t is None:
-                    break
-                if t >= 0 and count[i] < 0:
-                    if j:
-                        ok = known(row + t)
-                        if ok is None:
-                            ok = fill(u, t)
-                        if not ok:
-                            continue
-                    count[i], last[i], start[i] = c, t, j
+            j = i - size
+            if j:
+                if count[j] < 0:
+                    continue
+                u = last[j]
+                ok = known(u * SHIFT + t)
+                if ok is None:
+                    ok = fill(u, t)
+                if not ok:
+                    continue
+            count[i], last[i], start[i], settled = count[j] + 1, t, j, i
         return count, last, start
 
     def path(self, word: str) -> list[int]:
-        """Token ids of a word whose atoms are all in the vocabulary.
-
-        Transitions are tried longest label first; a place from which no path goes on is not tried
-        again, so the walk is linear in the word's length.
-        """
+        """Token ids of a word whose atoms are all in the vocabulary, read back from its prefix table."""
         whole = word + self.end
-        one = self.ids.get(whole)
-        if one is not None:
-            return [one]
-        n, spell, arc = len(whole), self.spell.get, self.arc
-        dead: set[int] = set()
-        out: list[int] = []
-        at = [0]
-        options: list[list[tuple[int, int]]] = []  # of each open place, the labels not tried yet, the longest last
-        while True:
-            j = at[-1]
-            if j == n:
-                return out
-            if len(options) < len(at):
-                here = []
-                for i in range(j + 1, n + 1):
-                    t = spell(whole[j:i])
-                    if t is None:
-                        break
-                    if t >= 0:
-                        here.append((t, i))
-                options.append(here)
-            here = options[-1]
-            while here:
-                t, i = here.pop()
-                if i not in dead and (not out or arc(out[-1], t)):
-                    out.append(t)
-                    at.append(i)
-                    break
-            else:  # no way on: go back, and do not come here again
-                if j == 0:
-                    raise ValueError(f"no token path spells {word!r}")
-                dead.add(j)
-                options.pop()
-                at.pop()
-                out.pop()
+        count, last, start = self.prefixes(whole)
+        at = len(whole)
+        if count[at] < 0:
+            raise ValueError(f"no token path spells {word!r}")
+        out = []
+        while at:
+            out.append(last[at])
+            at = start[at]
+        return out[::-1]
 
 
 #: White space of the files' patterns; Latin letters with marks, which most European text keeps to.
@@ -285,7 +259,7 @@ class Encoder:
 
     def _code(self, chunk: bytes) -> tuple[bytes, str]:
         own = self.ids(chunk.decode())
-        return b"".join([i.to_bytes(4, "little") for i in own]), " ".join([self.labels[i] for i in own])
+        return pack(f"<{len(own)}I", *own), " ".join([self.labels[i] for i in own])
 
     def parts(self, text: str) -> list[tuple[str, int]]:
         """(stretch, -1) and (special token, its id), in order."""
@@ -429,11 +403,9 @@ def code_text(text: str, path: str) -> tuple[int, bytes, str]:
             ids.append(special.to_bytes(4, "little"))
             said.append(enc.labels[special])
             continue
-        for c in stretch.encode().split():
-            found = enc.coded[c]
-            if found[0]:
-                ids.append(found[0])
-                said.append(found[1])
+        found = [x for x in [enc.coded[c] for c in stretch.encode().split()] if x[0]]
+        ids += [x[0] for x in found]
+        said += [x[1] for x in found]
     coded = b"".join(ids)
     return len(coded) // 4, coded, " ".join(said)
 
