@@ -215,6 +215,7 @@ class Encoder:
         self._paths = Memo(lambda piece: tuple(self.automaton.path(self.spelled(piece))))
         self._counts = Memo(lambda piece: self.automaton.prefixes(self.spelled(piece) + self.automaton.end)[0][-1])
         self.counted = Memo(self.count)
+        self._said = Memo(self._say)
         self.coded = Memo(self._code)
         self.letters = byte_letters()
         self.letter_of = {b: c for b, c in enumerate(self.letters) if chr(b) != c}
@@ -255,10 +256,16 @@ class Encoder:
 
     def spelled(self, piece: str) -> str:
         """The letters of a piece's bytes."""
-        return piece.encode().decode("latin-1").translate(self.letter_of)
+        return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letter_of)
 
     def _code(self, chunk: bytes) -> tuple[bytes, str]:
-        own = self.ids(chunk.decode())
+        if chunk.isalpha():  # ASCII letters alone are one piece
+            return self._said[chunk.lower().decode()]
+        found = [self._said[piece] for piece in self.pieces(chunk.decode())]
+        return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+
+    def _say(self, piece: str) -> tuple[bytes, str]:
+        own = self.automaton.path(self.spelled(piece))
         return pack(f"<{len(own)}I", *own), " ".join([self.labels[i] for i in own])
 
     def parts(self, text: str) -> list[tuple[str, int]]:
