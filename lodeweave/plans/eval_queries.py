@@ -152,39 +152,6 @@ def token_containment(spark, d):
 
 
 def _facets(spark, d):
-    """A fifth of the vectors, as in the SQL twins: facets and sub-questions of each label are ids ending in 1 and 2; ``_all_facets`` takes all."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", V.l2_normalize(F.col("embedding")).alias("u"))
-    f = v.filter("vec_id % 10 = 1").select(F.col("label").alias("qid"), F.col("vec_id").alias("facet"), F.col("u").alias("fu"))
-    s = v.filter("vec_id % 10 = 2").select(F.col("label").alias("plan"), F.col("vec_id").alias("sub"), "u")
-    return f, s
-
-
-def facet_coverage(spark, d):
-    f, s = _facets(spark, d)
-    sims = f.join(s, F.col("qid") == F.col("plan")).select("qid", "facet", F.round(V.dot(F.col("fu"), F.col("u")), 9).alias("sim"))
-    return E.coverage(sims, [0.6]).select("qid", "coverage")
-
-
-def coverage_sensitivity(spark, d):
-    f, s = _facets(spark, d)
-    sims = f.join(s, F.col("qid") == F.col("plan")).select("qid", "facet", F.round(V.dot(F.col("fu"), F.col("u")), 9).alias("sim"))
-    return E.coverage(sims, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45])
-
-
-def specificity_vs_rivals(spark, d):
-    from ..operators import retrieval
-
-    f, s = _facets(spark, d)
-    plans = [r[0] for r in s.select("plan").distinct().orderBy("plan").collect()]  # one row per question
-    sims = None
-    for p in plans:
-        best = retrieval.nearest(f.select(F.col("facet").alias("qid"), F.col("fu").alias("vector")), s.filter(F.col("plan") == p).select(F.col("sub").alias("id"), F.col("u").alias("vector")), 1)
-        part = best.select(F.col("qid").alias("facet"), F.lit(p).alias("plan"), F.col("raw").alias("sim"))
-        sims = part if sims is None else sims.unionByName(part)
-    return E.specificity(f.select("qid", "facet").join(sims, "facet"))
-
-
-def _all_facets(spark, d):
     """Facets (odd ids) and sub-questions (even ids) of each label: all vectors."""
     v = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector"))
     return v.filter("vec_id % 2 <> 0"), v.filter("vec_id % 2 = 0")
@@ -194,24 +161,24 @@ def _own_sims(spark, d):
     """The best similarity of every facet to a sub-question of its own label; below all others where there is none."""
     from ..operators import retrieval
 
-    f, s = _all_facets(spark, d)
+    f, s = _facets(spark, d)
     best = retrieval.nearest(f.withColumnRenamed("vec_id", "qid"), s.withColumnRenamed("vec_id", "id"), 1, within="label")
     sims = f.select(F.col("label").alias("qid"), F.col("vec_id").alias("facet")).join(best.select(F.col("qid").alias("facet"), F.col("raw").alias("sim")), "facet", "left")
     return sims.na.fill(-2.0, ["sim"])
 
 
-def facet_coverage_all(spark, d):
+def facet_coverage(spark, d):
     return E.coverage(_own_sims(spark, d), [0.6]).select("qid", "coverage")
 
 
-def coverage_sensitivity_all(spark, d):
+def coverage_sensitivity(spark, d):
     return E.coverage(_own_sims(spark, d), [0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8])
 
 
-def specificity_vs_rivals_all(spark, d):
+def specificity_vs_rivals(spark, d):
     from ..operators import retrieval
 
-    f, s = _all_facets(spark, d)
+    f, s = _facets(spark, d)
     facets = f.select(F.col("label").alias("qid"), F.col("vec_id").alias("facet"))
     plans = [r[0] for r in s.select("label").distinct().orderBy("label").collect()]  # one row per question
     sims = facets.select("facet", F.lit(None).cast("int").alias("plan"), F.lit(None).cast("double").alias("sim"))  # no facet is lost where there is no plan
@@ -300,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
     spearman_rho, ols_length_bias, length_bias_p, edge_precision, band_precision, confidence_informative, run_means, paired_arms, wilcoxon_w, median_consensus_lower,
     repro_score_case, repro_accuracy, repro_crosstab, token_containment, facet_coverage, coverage_sensitivity, specificity_vs_rivals, budget_row_number,
     trajectory_added_except, retrieval_efficiency, usage_cost_rollup, stratified_sample_quota, stratified_sample_counts, equal_sample_counts, banded_sample_counts,
-    corpus_report, tier_rollup, gold_mix_bounds, facet_coverage_all, coverage_sensitivity_all, specificity_vs_rivals_all,
+    corpus_report, tier_rollup, gold_mix_bounds,
 )}
 
 _pick = lambda c: f"coalesce(list_sort(list(DISTINCT l_partkey::VARCHAR) FILTER ({c})), [])"
@@ -318,7 +285,7 @@ _DIFFS = _RUNS + ", pq AS (SELECT arm, qid, avg(value) AS v FROM ru GROUP BY ALL
 _NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 _REPRO = f"""rp AS (SELECT p_partkey, p_type, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN 'not_reported' ELSE p_brand END AS g, CASE p_partkey % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN lower(p_brand) WHEN 2 THEN NULL ELSE p_type END AS s FROM part),
 ro AS (SELECT p_partkey, p_type, CASE WHEN g IS NULL THEN 'skipped' WHEN g = 'not_reported' THEN CASE WHEN s IS NULL OR lower(trim(s)) = 'n/a' THEN 'correct_absence' ELSE 'hallucinated' END WHEN s IS NULL OR lower(trim(s)) = 'n/a' THEN 'missed' WHEN {_NORM.format(x='g')} = {_NORM.format(x='s')} THEN 'correct' ELSE 'wrong' END AS outcome FROM rp)"""
-_FACETS = "fs AS (SELECT f.label AS qid, f.vec_id AS facet, s.label AS plan, round(list_cosine_similarity(f.embedding::DOUBLE[], s.embedding::DOUBLE[]), 9) AS sim FROM embeddings f, embeddings s WHERE f.vec_id % 10 = 1 AND s.vec_id % 10 = 2)"
+_FACETS = "fs AS (SELECT f.label AS qid, f.vec_id AS facet, s.label AS plan, round(list_cosine_similarity(f.embedding::DOUBLE[], s.embedding::DOUBLE[]), 9) AS sim FROM embeddings f, embeddings s WHERE f.vec_id % 2 <> 0 AND s.vec_id % 2 = 0)"
 _STEPS = "st AS (SELECT user_id AS qid, event_type, (event_id % 40)::VARCHAR AS paper, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events)"
 _REACHED = _STEPS + ", re AS (SELECT qid, coalesce(list(DISTINCT paper) FILTER (nth <= 4), []) AS before, coalesce(list(DISTINCT paper) FILTER (nth <= 6), []) AS after, coalesce(list(DISTINCT paper) FILTER (event_type = 'purchase'), []) AS need, count(*) FILTER (nth <= 6) AS used FROM st GROUP BY qid)"
 _QUOTA = "z AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), x AS (SELECT *, n * 50 / sum(n) OVER () AS e FROM z), y AS (SELECT *, floor(e) AS f, row_number() OVER (ORDER BY round(floor(e) - e, 9), lang) AS k, 50 - sum(floor(e)) OVER () AS rest FROM x)"
@@ -344,7 +311,7 @@ ORACLE_SQL = {
     "token_containment": f"""WITH t AS (SELECT p_partkey, {_NORM.format(x='p_brand')} AS b, {_NORM.format(x="p_brand || ' ' || p_type")} AS w, {_NORM.format(x='substr(p_brand, 2, 20)')} AS c, {_NORM.format(x='p_name')} AS n FROM part)
 SELECT p_partkey, b <> '' AND w <> '' AND (contains(' ' || b || ' ', ' ' || w || ' ') OR contains(' ' || w || ' ', ' ' || b || ' ')) AS whole, c <> '' AND n <> '' AND (contains(' ' || c || ' ', ' ' || n || ' ') OR contains(' ' || n || ' ', ' ' || c || ' ')) AS cut FROM t""",
     "facet_coverage": f"WITH {_FACETS}, b AS (SELECT qid, facet, max(sim) AS best FROM fs WHERE qid = plan GROUP BY ALL) SELECT qid, round(avg((best >= 0.6)::INT), 6) AS coverage FROM b GROUP BY qid",
-    "coverage_sensitivity": f"WITH {_FACETS}, b AS (SELECT qid, facet, max(sim) AS best FROM fs WHERE qid = plan GROUP BY ALL) SELECT qid, t::DOUBLE AS threshold, round(avg((best >= t::DOUBLE)::INT), 6) AS coverage FROM b, (SELECT unnest([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]) AS t) GROUP BY ALL",
+    "coverage_sensitivity": f"WITH {_FACETS}, b AS (SELECT qid, facet, max(sim) AS best FROM fs WHERE qid = plan GROUP BY ALL) SELECT qid, t::DOUBLE AS threshold, round(avg((best >= t::DOUBLE)::INT), 6) AS coverage FROM b, (SELECT unnest([0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]) AS t) GROUP BY ALL",
     "specificity_vs_rivals": f"WITH {_FACETS}, b AS (SELECT qid, facet, max(sim) FILTER (plan = qid) AS own, max(sim) FILTER (plan <> qid) AS rival FROM fs GROUP BY ALL) SELECT qid, count(*) AS n, round(avg((own > rival)::INT), 6) AS specificity FROM b GROUP BY qid",
     "budget_row_number": f"WITH {_STEPS} SELECT qid, count(*) FILTER (nth <= 6) AS used, count(*) FILTER (nth > 6) AS refused, greatest(0, 6 - count(*))::BIGINT AS remaining FROM st GROUP BY qid",
     "trajectory_added_except": f"WITH {_REACHED}, a AS (SELECT qid, list_sort(list_filter(after, lambda x: NOT list_contains(before, x))) AS added, need FROM re) SELECT qid, array_to_string(added, ',') AS added, len(list_intersect(added, need)) AS useful FROM a",

@@ -31,14 +31,14 @@ def shares(best, test):
 
 def test_coverage_of_all_vectors(spark, best):
     cover = lambda t: shares(best, lambda own, sims: sims.get(own, -2.0) >= t)
-    got = registry.QUERIES["facet_coverage_all"](spark, DATA).select("qid", "coverage").collect()
+    got = registry.QUERIES["facet_coverage"](spark, DATA).select("qid", "coverage").collect()
     assert canonical(got) == canonical((q, c) for q, (_, c) in cover(0.6).items())
-    got = registry.QUERIES["coverage_sensitivity_all"](spark, DATA).select("qid", "threshold", "coverage").collect()
+    got = registry.QUERIES["coverage_sensitivity"](spark, DATA).select("qid", "threshold", "coverage").collect()
     assert canonical(got) == canonical((q, t, c) for t in GRID for q, (_, c) in cover(t).items())
 
 
 def test_specificity_of_all_vectors(spark, best):
     want = shares(best, lambda own, sims: sims[own] > max(x for p, x in sims.items() if p != own))
-    got = registry.QUERIES["specificity_vs_rivals_all"](spark, DATA).select("qid", "n", "specificity").collect()
+    got = registry.QUERIES["specificity_vs_rivals"](spark, DATA).select("qid", "n", "specificity").collect()
     assert canonical(got) == canonical((q, n, x) for q, (n, x) in want.items())
     assert sum(r.n for r in got) == len(best)
