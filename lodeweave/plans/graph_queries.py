@@ -42,20 +42,8 @@ def bfs_cap_by_confidence(spark, d):
     return out.select("qid", "id", F.col("hop").cast("long").alias("hop"), "via")
 
 
-def _cites(spark, d):
-    """Orders cite the parts of their lines; parts of size up to 10 are in the corpus and cite back by brand."""
-    li = table(spark, d, "lineitem").join(table(spark, d, "part").filter("p_size <= 10").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    return li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.lit("cites").alias("type"), F.max(F.round(1 - F.col("l_discount"), 2)).alias("confidence"))
-
-
 def cites_bfs_cap(spark, d):
-    seeds = table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("qid"), F.concat(F.lit("p"), "p_partkey").alias("id"))
-    out = graph.expand(seeds, _cites(spark, d), hops=2, cap=30)
-    return out.select("qid", "id", F.col("hop").cast("long").alias("hop"))
-
-
-def cites_bfs_cap_all(spark, d):
-    """The walk of ``cites_bfs_cap`` with every known part in the corpus and as a seed; the cap is the operator's."""
+    """Citations of every known part, walked from every part; the cap is the operator's."""
     part = table(spark, d, "part").select("p_partkey")
     seeds = part.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("p"), "p_partkey").alias("id"))
     li = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
@@ -213,7 +201,7 @@ def planner_hints_topk(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bfs_two_hop_undirected, bfs_cap_by_confidence, cites_bfs_cap, cites_bfs_cap_all, degree_top10, induced_subgraph, graph_type_counts, layer_separation_invariant, promote_staged,
+    bfs_two_hop_undirected, bfs_cap_by_confidence, cites_bfs_cap, degree_top10, induced_subgraph, graph_type_counts, layer_separation_invariant, promote_staged,
     upsert_last_writer, edge_merge_drop_dangling, tier_a_edges_union, tier_a_nodes, cites_in_corpus_semi, cocitation_hubs_anti, citation_density_report,
     connected_components_min, entity_map_canonical, merge_log_by_rule, remap_edges_drop_selfloops, attrs_json_parse, confidence_clamp, confidence_gate_edges,
     node_dedup_max_conf, routing_join, planner_hints_topk,
@@ -248,7 +236,7 @@ def _ways(edges: str) -> str:
 ORACLE_SQL = {
     "bfs_two_hop_undirected": f"WITH {_EDGES}, e2 AS (SELECT * FROM edges WHERE type <> 'customer_of'), {_ways('e2')}, {_bfs('''SELECT s_suppkey AS qid, 's' || s_suppkey AS id FROM supplier''', 1000000)} SELECT qid, id, hop::BIGINT AS hop, via FROM r2",
     "bfs_cap_by_confidence": f"WITH {_NODES}, {_ways('edges').replace('ways AS', 'w0 AS')}, ways AS (SELECT w0.* FROM w0 JOIN nodes ON dst = id WHERE source_layer = 'curated'), {_bfs('''SELECT r_regionkey AS qid, 'r' || r_regionkey AS id FROM region''', 40)} SELECT qid, id, hop::BIGINT AS hop, via FROM r2",
-    "cites_bfs_cap": f"WITH e2 AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'cites' AS type, max(round(1 - l_discount, 2)) AS confidence FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY ALL), {_ways('e2')}, {_bfs('''SELECT p_partkey AS qid, 'p' || p_partkey AS id FROM part WHERE p_size = 1''', 30)} SELECT qid, id, hop::BIGINT AS hop FROM r2",
+    "cites_bfs_cap": f"WITH e2 AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'cites' AS type, max(round(1 - l_discount, 2)) AS confidence FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY ALL), {_ways('e2')}, {_bfs('''SELECT p_partkey AS qid, 'p' || p_partkey AS id FROM part''', 30)} SELECT qid, id, hop::BIGINT AS hop FROM r2",
     "degree_top10": f"WITH {_EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 10",
     "induced_subgraph": f"WITH {_EDGES} SELECT src, dst, type FROM edges WHERE src[1] IN ('n', 'r') AND dst[1] IN ('n', 'r')",
     "graph_type_counts": f"WITH {_NODES} SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
