@@ -11,7 +11,8 @@ settled arcs stay in the transition table.
 A word's encoding is the one accepted path that spells it. Every prefix of a word has one such path
 too, and a prefix's path is the path of a shorter prefix plus one arc, so a left-to-right table
 over prefixes finds it in one pass and holds the token count of every prefix on the way. The labels
-that end at each letter come from a matcher over all labels, compiled once per worker.
+that end at each letter come from a matcher over all labels, compiled once per worker. Many short
+words are read at once: their tables are filled side by side, column by column, by array operations.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
-from struct import pack
+from functools import cached_property
+from itertools import accumulate, pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,11 @@ MEMO = 80_000  # entries in one generation of a worker's memo
 MEMO_KEY = 256  # longer keys are not remembered, so that entries bound bytes
 ARCS = 200_000  # settled arcs a worker remembers
 SHIFT = 1 << 20
+ARC_BITS = 18  # bits of a settled arc's place in the table that many words share
+BLOCK = 150_000  # letters of the words read at once, so that their matches take some 20 MB
+SHORT = 128  # longer words, in bytes, are read one by one
+GROUP = 1 << 20  # bytes of text whose new words are read together
+ROWS = 160_000  # pieces whose ids and labels a worker keeps
 
 
 def byte_letters() -> list[str]:
@@ -71,6 +79,154 @@ class Memo(dict):
         return found
 
 
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Lookup:
+    """Whole numbers by distinct keys, for many keys at a time: -1 where a key is unknown."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        place = _places(keys, self.bits)
+        while len(keys):
+            free = self.keys[place] < 0
+            self.keys[place[free]] = keys[free]  # of those with one place the last stays, the others go on
+            own = self.keys[place] == keys
+            self.values[place[own]] = values[own]
+            keys, values, place = keys[~own], values[~own], (place[~own] + 1) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        place = _places(keys, self.bits)
+        held = self.keys[place]
+        other = held != keys
+        out = self.values[place]
+        out[other] = -1
+        todo = np.flatnonzero(other & (held >= 0))
+        place = place[todo]
+        while len(todo):
+            place = (place + 1) & (len(self.keys) - 1)
+            held = self.keys[place]
+            own = held == keys[todo]
+            out[todo[own]] = self.values[place[own]]
+            more = ~own & (held >= 0)
+            todo, place = todo[more], place[more]
+        return out
+
+
+class Columns:
+    """The automaton for many words at a time: a trie of the tokens' bytes, and its gadgets as arrays.
+
+    A symbol is a byte; the last byte of a word has 256 added where the file marks the ends of words,
+    and ``STOP`` follows every word.
+    """
+
+    STOP, SYMBOLS = 512, 513
+
+    def __init__(self, automaton: Automaton) -> None:
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.marked = bool(automaton.end)
+        nodes: dict[int, int] = {}
+        token = [-1]
+        for t, i in automaton.tokens():
+            at, letters = 0, [byte_of.get(c, -1) for c in t.removesuffix(MARK)]
+            if -1 in letters or not letters:  # no word has such a letter
+                continue
+            if t.endswith(MARK):
+                letters[-1] += 256
+            for x in letters:
+                key = at * self.SYMBOLS + x
+                at = nodes.get(key, 0)
+                if not at:
+                    at = nodes[key] = len(token)
+                    token.append(-1)
+            token[at] = i
+        self.token = np.array(token, np.int32)
+        self.next = Lookup(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
+        self.first = np.array([nodes.get(x, -1) for x in range(self.SYMBOLS)], np.int32)
+        self.made, self.left, self.right = (np.array(x, np.int32) for x in (automaton.made, automaton.left, automaton.right))
+        cut = automaton.cut
+        self.cut = Lookup(np.fromiter((u * SHIFT + v for u, v in cut), np.int64, len(cut)), np.fromiter(cut.values(), np.int32, len(cut)))
+        self.none = len(self.made) + len(cut)
+        self.settled = np.full(1 << ARC_BITS, -1, np.int64)  # 2 * (u, v) + arc, the latest at its place
+
+    def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """If each v may follow its u."""
+        key = u.astype(np.int64) * SHIFT + v
+        place = _places(key, ARC_BITS)
+        held = self.settled[place]
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            held[new] = found = 2 * key[new] + self._settle(u[new], v[new])
+            self.settled[place[new]] = found
+        return (held & 1).astype(bool)
+
+    def _settle(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """``Automaton._settle`` for many arcs."""
+        out, todo, limit = np.zeros(len(u), bool), np.arange(len(u)), np.full(len(u), self.none, np.int32)
+        while len(todo):
+            rank = self.cut.get(u.astype(np.int64) * SHIFT + v)
+            a, b = self.made[u], self.made[v]
+            begun, kept = a > b, (rank < 0) | (rank >= limit)
+            out[todo[kept & ~begun & (b < 0)]] = True
+            on = kept & (begun | (b >= 0))
+            todo, u, v, a, b, begun = todo[on], u[on], v[on], a[on], b[on], begun[on]
+            limit = np.where(begun, a, b + 1)
+            u, v = np.where(begun, self.right[u], u), np.where(begun, v, self.left[v])
+        return out
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words (none empty), one word after another, and where each word's ids end."""
+        symbol = np.frombuffer(b"\n".join(words) + b"\n", np.uint8).astype(np.int32)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size + 1) - 1
+        symbol[stop] = self.STOP
+        if self.marked:
+            symbol[stop - 1] += 256
+        offset = (np.arange(len(symbol)) - np.repeat(stop - size, size + 1)).astype(np.uint16)
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # matches: start, end, token
+        at = np.flatnonzero(symbol != self.STOP).astype(np.int32)
+        node, depth = self.first[symbol[at]], 0
+        while True:
+            on = node >= 0
+            at, node, depth = at[on], node[on], depth + 1
+            if not len(at):
+                break
+            token = self.token[node]
+            hit = token >= 0
+            found.append((at[hit], at[hit] + depth, token[hit]))
+            node = self.next.get(node.astype(np.int64) * self.SYMBOLS + symbol[at + depth])
+        start, end, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        column = offset[start]
+        order = np.argsort(column, kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        bounds = np.cumsum(np.bincount(column)).tolist()
+
+        last, back = np.full(len(symbol), -1, np.int32), np.zeros(len(symbol), np.int32)
+        low = 0
+        for high in bounds:  # an earlier column has the longer tokens, and one token at most may end at a letter
+            s, e, t = start[low:high], end[low:high], token[low:high]
+            if low:
+                u = last[s]
+                on = np.flatnonzero((last[e] < 0) & (u >= 0))
+                s, e, t, u = s[on], e[on], t[on], u[on]
+                on = np.flatnonzero(self.arcs(u, t))
+                s, e, t = s[on], e[on], t[on]
+            last[e], back[e] = t, s
+            low = high
+        if (last[stop] < 0).any():
+            raise ValueError(f"no token path spells {words[int(np.argmax(last[stop] < 0))]!r}")
+        taken, ends, begin = np.zeros(len(symbol), bool), stop, stop - size
+        while len(ends):
+            taken[ends] = True
+            ends = back[ends]
+            on = ends > begin
+            ends, begin = ends[on], begin[on]
+        return last[taken], np.cumsum(taken)[stop]
+
+
 class Automaton:
     """Tokens as states; ``arc(u, v)`` says if v may follow u."""
 
@@ -87,13 +243,21 @@ class Automaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, self.ids[own(a)], self.ids[own(b)], self.ids[own(a + b)])
         self.table: dict[tuple[int, int], bool] = {}
-        self.reader = ahocorasick.Automaton()  # finds every token that ends at a letter, the longest first
-        for t, i in self.ids.items():
-            if self.made[i] >= 0 or len(t) == 1 + t.endswith(MARK):
-                self.reader.add_word(t, (i, len(t)))
-        self.reader.make_automaton()
         self.labels = {i: t for t, i in vocab.items()}
 
+    @cached_property
+    def reader(self) -> ahocorasick.Automaton:
+        """Finds every token that ends at a letter, the longest first."""
+        out = ahocorasick.Automaton()
+        for t, i in self.tokens():
+            out.add_word(t, (i, len(t)))
+        out.make_automaton()
+        return out
+
+    def tokens(self) -> list[tuple[str, int]]:
+        """Atoms and what merges make, with their ids."""
+        return [(t, i) for t, i in self.ids.items() if self.made[i] >= 0 or len(t) == 1 + t.endswith(MARK)]
+
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         self.cut[a, b] = rank
         self.made[ab], self.left[ab], self.right[ab] = rank, a, b
@@ -215,8 +379,7 @@ class Encoder:
         self._paths = Memo(lambda piece: tuple(self.automaton.path(self.spelled(piece))))
         self._counts = Memo(lambda piece: self.automaton.prefixes(self.spelled(piece) + self.automaton.end)[0][-1])
         self.counted = Memo(self.count)
-        self._said = Memo(self._say)
-        self.coded = Memo(self._code)
+        self._pieces = Memo(lambda chunk: self.pieces(chunk.decode()))
         self.letters = byte_letters()
         self.letter_of = {b: c for b, c in enumerate(self.letters) if chr(b) != c}
         self.labels = self.automaton.labels | {a["id"]: a["content"] for a in added}
@@ -228,13 +391,17 @@ class Encoder:
         self.words = bool(spec["normalizer"])
         if self.words:  # normalised, lower case, white space dropped; a chunk is what stands between ASCII white space
             self._piece = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}")
-            self._common = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^{space}a-z0-9{LATIN}]+")
+            self._common = re.compile(rf"[a-z{LATIN}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^{space}a-z0-9{LATIN}]+")
         else:  # a chunk is an optional space and what follows up to white space, or white space
             self._chunk = re.compile(rf" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+")
             self._piece = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}|[{space}]+(?![^{space}])|[{space}]+")
             self._common = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^{space}A-Za-z0-9{LATIN}]+|[{space}]+(?![^{space}])|[{space}]+")
         self._usual = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
 
+    @cached_property
+    def rows(self) -> Rows:
+        return Rows(self)
+
     def split(self, text: str) -> list[str]:
         """Chunks of a stretch without special tokens."""
         return [c.decode() for c in text.encode().split()] if self.words else self._chunk.findall(text)
@@ -258,15 +425,11 @@ class Encoder:
         """The letters of a piece's bytes."""
         return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letter_of)
 
-    def _code(self, chunk: bytes) -> tuple[bytes, str]:
-        if chunk.isalpha():  # ASCII letters alone are one piece
-            return self._said[chunk.lower().decode()]
-        found = [self._said[piece] for piece in self.pieces(chunk.decode())]
-        return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
-
-    def _say(self, piece: str) -> tuple[bytes, str]:
-        own = self.automaton.path(self.spelled(piece))
-        return pack(f"<{len(own)}I", *own), " ".join([self.labels[i] for i in own])
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a stretch without special tokens, for a word-level file."""
+        if self._usual(text) and "İ" not in text:  # letters that are composed already and stay usual in lower case
+            return self._common.findall(text.lower())
+        return [piece for chunk in text.encode().split() for piece in self._pieces[chunk]]
 
     def parts(self, text: str) -> list[tuple[str, int]]:
         """(stretch, -1) and (special token, its id), in order."""
@@ -339,6 +502,75 @@ class Encoder:
         return out
 
 
+class Rows:
+    """Ids and labels of pieces in numbered rows, for a word-level file; a special token's id stands for its piece.
+
+    Beyond ``ROWS`` pieces room is made: those of the group at hand stay. Only one group with more pieces than that takes more.
+    """
+
+    def __init__(self, enc: Encoder) -> None:
+        self.enc, self.columns = enc, Columns(enc.automaton)
+        self.row: dict[str | int, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.said: list[str] = []
+
+    def of(self, pieces: list[str | int]) -> np.ndarray:
+        """The row of each piece, good until the next call."""
+        now = set(pieces)
+        new = now.difference(self.row)
+        if len(self.said) + len(new) > ROWS or len(self.ids) > 8 * ROWS:
+            self._keep(list(now - new))
+        if new:
+            self._learn(new)
+        found = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+        for p in [p for p in new if isinstance(p, str) and len(p) > MEMO_KEY]:
+            del self.row[p]
+        return found
+
+    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows, one after another, and where each row's ids end."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[rows] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def _keep(self, pieces: list[str | int]) -> None:
+        rows = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+        self.row, self.said = dict(zip(pieces, range(len(pieces)), strict=True)), [self.said[i] for i in rows.tolist()]
+        (self.ids, ends), self.size = self.spread(rows), self.size[rows]
+        self.begin = ends - self.size
+
+    def _learn(self, pieces: set[str | int]) -> None:
+        short: list[tuple[str, bytes]] = []
+        single: dict[str | int, list[int]] = {}
+        for p in pieces:
+            if isinstance(p, int):
+                single[p] = [p]
+            elif len(word := p.encode()) > SHORT:
+                single[p] = self.enc.automaton.path(self.enc.spelled(p))
+            else:
+                short.append((p, word))
+        if single:
+            self._add(list(single), np.array([i for x in single.values() for i in x], np.int32), np.cumsum([len(x) for x in single.values()]))
+        ends = np.cumsum([len(x) for _, x in short])
+        low = 0
+        while low < len(short):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK, "right")))
+            self._add([p for p, _ in short[low:high]], *self.columns.paths([x for _, x in short[low:high]]))
+            low = high
+
+    def _add(self, pieces: list[str | int], ids: np.ndarray, ends: np.ndarray) -> None:
+        labels, a, n = [self.enc.labels[i] for i in ids.tolist()], 0, len(self.said)
+        for b in ends.tolist():
+            self.said.append(" ".join(labels[a:b]))
+            a = b
+        begin = np.concatenate([[0], ends[:-1]])
+        self.row.update(zip(pieces, range(n, len(self.said)), strict=True))
+        self.begin, self.size = np.concatenate([self.begin, begin + len(self.ids)]), np.concatenate([self.size, ends - begin])
+        self.ids = np.concatenate([self.ids, ids])
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -400,21 +632,32 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, limit: int = 1
     return out.withColumnRenamed("key", key)
 
 
-def code_text(text: str, path: str) -> tuple[int, bytes, str]:
-    """(number of ids, ids as little-endian unsigned 32-bit integers, decoded text) of a word-level file."""
+def code_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ids of all texts, one text after another; where each text's begin, and the end; decoded texts. For a word-level file."""
     enc = encoder(path)
-    ids: list[bytes] = []
-    said: list[str] = []
-    for stretch, special in enc.parts(text):
-        if special >= 0:
-            ids.append(special.to_bytes(4, "little"))
-            said.append(enc.labels[special])
-            continue
-        found = [x for x in [enc.coded[c] for c in stretch.encode().split()] if x[0]]
-        ids += [x[0] for x in found]
-        said += [x[1] for x in found]
-    coded = b"".join(ids)
-    return len(coded) // 4, coded, " ".join(said)
+    pieces: list[str | int] = []
+    stops = [0]
+    for text in texts:
+        for stretch, special in enc.parts(text):
+            if special >= 0:
+                pieces.append(special)
+            else:
+                pieces += enc.cut(stretch)
+        stops.append(len(pieces))
+    rows = enc.rows.of(pieces)
+    ids, ends = enc.rows.spread(rows)
+    said = list(map(enc.rows.said.__getitem__, rows.tolist()))
+    return ids, np.concatenate([[0], ends])[stops], [" ".join(said[a:b]) for a, b in pairwise(stops)]
+
+
+def groups(texts: pa.Array) -> Iterator[slice]:
+    """Neighbouring rows of about ``GROUP`` bytes of text; a longer text is a group of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + GROUP, "right")))
+        yield slice(low, min(high, low + 4096))
+        low = min(high, low + 4096)
 
 
 def encode_decode(docs: DataFrame, key: str, text: str, path: str, digests: bool = False) -> DataFrame:
@@ -427,18 +670,17 @@ def encode_decode(docs: DataFrame, key: str, text: str, path: str, digests: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
-            for at in range(0, max(1, b.num_rows), 512):
-                part = b.slice(at, 512)
-                found = [code_text(t.as_py() or "", path) for t in part.column(1)]
-                n = pa.array([x[0] for x in found], pa.int64())
+            for rows in groups(b.column(1)):
+                part = b.slice(rows.start, rows.stop - rows.start)
+                ids, stops, said = code_texts([t.as_py() or "" for t in part.column(1)], path)
+                n = pa.array(np.diff(stops), pa.int64())
                 if digests:
-                    more = [pa.array([hashlib.sha256(x[1]).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in found], pa.string())]
+                    own = ids.astype("<u4", copy=False)
+                    more = [pa.array([hashlib.sha256(own[a:b]).hexdigest() for a, b in pairwise(stops.tolist())], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said], pa.string())]
                     names = ["ids_sha256", "decoded_sha256"]
                 else:
-                    more = [pa.array([np.frombuffer(x[1], "<u4").astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.string())]
+                    more = [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids, pa.int32())), pa.array(said, pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), n, *more], ["key", "n_tokens", *names])
 

@@ -110,3 +110,54 @@ def test_codes_of_odd_rows(docs, no_docs):
         assert (r.n_tokens, full[r.doc_id].ids, full[r.doc_id].decoded) == (len(ids), ids, said)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and r.decoded_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert bpe.encode_decode(no_docs, "doc_id", "text", WORDS).count() == 0
+
+
+def whole(texts):
+    """Ids and decoded text of each text, as ``op5_bpe`` gets them."""
+    ids, stops, said = bpe.code_texts(texts, WORDS)
+    return [(ids[a:b].tolist(), s) for a, b, s in zip(stops[:-1], stops[1:], said, strict=True)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_texts_read_together_equal_the_library(small, monkeypatch):
+    """With little room, rows are dropped and words read in many blocks."""
+    if small:
+        for name, value in {"ROWS": 50, "BLOCK": 40, "SHORT": 6, "MEMO_KEY": 8, "ARC_BITS": 4}.items():
+            monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(bpe, "_encoders", {})
+    lib, given = tokenizers.Tokenizer.from_file(WORDS), texts(600)
+    given += ["İstanbul İ", "Straße ŉ ſ ÀÉ'S don't WE'LL x'sy \"'re\"", "á é ΑΣ Σ", "\x85a\x1cb　c", "x" * 500, "漢字" * 90 + " Ünïcode" * 9, "<|endoftext|>a<|endoftext|><|startoftext|>", "\0 \n\n a\0b \x7f"]
+    for low in range(0, len(given), 40):
+        part = given[low : low + 40]
+        want = [lib.encode(t, add_special_tokens=False).ids for t in part]
+        assert whole(part) == [(ids, lib.decode(ids, skip_special_tokens=False)) for ids in want]
+    assert bpe.encoder(WORDS).rows.row.keys() and (not small or len(bpe.encoder(WORDS).rows.said) < 2000)
+
+
+def test_words_read_together_equal_words_read_alone():
+    """All short words over a small alphabet, whose merges overlap, with and without a mark of the end."""
+    import itertools
+
+    merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "aab"), ("ab", "ab"), ("aa", "aa")]
+    atoms, made = ["a", "b"], [x + y for x, y in merges]
+    words = ["".join(w) for n in range(1, 9) for w in itertools.product("ab", repeat=n)]
+    marked = [("a", "a"), ("a", "b."), ("aa", "b."), ("b", "a"), ("ba", "a."), ("a", "a.")]
+    for own in (
+        bpe.Automaton({t: i for i, t in enumerate([*atoms, *made])}, merges),
+        bpe.Automaton({t: i for i, t in enumerate([*atoms, "a.", "b.", *dict.fromkeys(x + y for x, y in marked)])}, marked, "."),
+    ):
+        ids, ends = bpe.Columns(own).paths([w.encode() for w in words])
+        found = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        assert found == [own.path(w) for w in words]
+
+
+def test_new_short_words_are_not_read_one_by_one(monkeypatch):
+    """Words met once make most of the work, and no memory of words helps there; only the long one is read alone."""
+    alone, path = [], bpe.Automaton.path
+    monkeypatch.setattr(bpe, "_encoders", {})
+    monkeypatch.setattr(bpe.Automaton, "path", lambda self, word: alone.append(word) or path(self, word))
+    r = random.Random(9)
+    words = ["".join(r.choices(["ein", "lich", "zu", "ver", "pf", "tion", "\u00fc", "\u00df"], k=5)) for _ in range(3000)] + ["x" * 1000]
+    lib, docs = tokenizers.Tokenizer.from_file(WORDS), [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    assert [ids for ids, _ in whole(docs)] == [lib.encode(t, add_special_tokens=False).ids for t in docs]
+    assert alone == ["x" * 1000]
