@@ -111,7 +111,7 @@ def synthesize(lib: Library, queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def _text(lib: Library, hits: DataFrame) -> DataFrame:
-    return hits.join(lib.chunks.select("id", "paper", "text"), "id")
+    return retrieval.met_by(hits, lib.chunks.select("id", "paper", "text"))
 
 
 def vector_arm(lib: Library, queries: DataFrame, corpus: str = "fulltext", top_k: int = 60) -> DataFrame:
@@ -135,7 +135,7 @@ SEEDABLE = ["Method", "Problem", "Claim", "Limitation", "Dataset", "Hardware", "
 def typed_graph_arm(lib: Library, queries: DataFrame, chunks: bool = True, hops: int = 2, cap: int = 150) -> DataFrame:
     """Seeds by node name, typed walk, then either quotes of the nodes reached or chunks of their papers."""
     reached = graph.expand(_seeds(lib, queries, SEEDABLE), graph.curated(lib.edges), hops, cap, graph.curated(lib.nodes))
-    met = reached.join(lib.nodes.select("id", F.col("from_paper").alias("paper"), "quote"), "id").filter("paper is not null")
+    met = retrieval.met_by(reached, lib.nodes.select("id", F.col("from_paper").alias("paper"), *([] if chunks else ["quote"]))).filter("paper is not null")
     if chunks:
         return synthesize(lib, queries, _papers_to_chunks(lib, queries, met))
     by = Window.partitionBy("qid").orderBy("hop", "id")

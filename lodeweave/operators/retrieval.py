@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.storage import written
 
-#: Queries go out in broadcasts of about so many bytes, and are compared in blocks of so many.
-QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
+#: Queries of about so many bytes at most go out in a broadcast; more meet the items in tasks of up to so many queries and items.
+QUERY_BYTES, QUERY_STRIPE, ITEM_STRIPE = 2 << 20, 1 << 15, 1 << 18
+#: Queries times k that a task keeps, queries compared at once, rows that make a stripe of their own worth its copies.
+KEPT, QUERY_BLOCK, WORTH = 4 << 20, 1024, 4096
+#: Found rows of so many at most are sent to the tables they are read from.
+SENT_ROWS = 2_000_000
 #: Digits of a similarity that count; equal vectors then tie whatever the order of summation.
 DIGITS = 9
 
@@ -46,70 +50,184 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep & (sims > -np.inf))
 
 
+class _Top:
+    """The k best (item, similarity) of every query so far; ties go to the least id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.rows, self.at, self.sims = k, [], [], []
+        self.names, self.named = [], 0  # ids of the items met, by which ``at`` counts
+        self.held, self.most, self.least = 0, max(1 << 20, 3 * n * k), np.full(n, -np.inf)
+
+    def add(self, at: int, sims: np.ndarray) -> None:
+        """Similarities of the queries from ``at`` on to the items named last, in the order of their ids; -inf where they do not meet."""
+        least = self.least[at : at + len(sims)]
+        if np.isneginf(least).any():
+            sims = np.round(sims, DIGITS)
+            r, c = _best(sims, self.k)
+            found = sims[r, c]
+        else:
+            r, c = np.nonzero(sims >= (least - 2 * 10.0**-DIGITS)[:, None])
+            found = np.round(sims[r, c], DIGITS)
+        if len(r):
+            self.rows.append((r + at).astype(np.int32)), self.at.append((c + self.named).astype(np.int32)), self.sims.append(found)
+            self.held += len(r)
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, similarity) of the k best so far; forgets the others and their names."""
+        if not self.rows:
+            self.names, self.named = [], 0
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        r, at, sims, names = (np.concatenate(x) for x in (self.rows, self.at, self.sims, self.names))
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+        order = np.lexsort((rank[at], -sims, r))
+        r, at, sims = r[order], at[order], sims[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        full = nth == self.k - 1
+        self.least[r[full]] = sims[full]
+        keep = nth < self.k
+        r, at, sims = r[keep], at[keep], sims[keep]
+        used, at = np.unique(at, return_inverse=True)
+        names = names[used]
+        self.rows, self.at, self.sims, self.held = [r], [at.astype(np.int32)], [sims], len(r)
+        self.names, self.named = [names], len(names)
+        return r, names[at], sims
+
+    def meet(self, q: np.ndarray, qids: np.ndarray, own: np.ndarray, vectors: pa.Array, skip_self: bool, apart: np.ndarray | None = None) -> None:
+        """Compare all queries with a batch of items; ``apart`` marks pairs that do not meet."""
+        order = np.argsort(own, kind="stable")
+        own, v = own[order], _matrix(vectors)[order]
+        if v.shape[1] != q.shape[1]:  # only empty vectors here or there
+            q, v = (m if m.shape[1] else np.zeros((len(m), max(q.shape[1], v.shape[1]))) for m in (q, v))
+        self.names.append(own)
+        for i in range(0, len(qids), QUERY_BLOCK):
+            some = slice(i, i + QUERY_BLOCK)
+            sims = q[some] @ v.T
+            if apart is not None:
+                sims[apart[some][:, order]] = -np.inf
+            if skip_self:
+                sims[qids[some][:, None] == own[None, :]] = -np.inf
+            self.add(i, sims)
+        self.named += len(own)
+        if self.held > self.most or np.isneginf(self.least).any():
+            self.cut()
+
+    def batches(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r, ids, sims = self.cut()
+        for at in range(0, len(r), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[r[some]]), pa.array(ids[some]), pa.array(sims[some])], ["qid", "id", "raw"])
+
+
+def _column(c: pa.Array) -> np.ndarray:
+    """Ids as numbers or as text of fixed width, which sorts and compares fast."""
+    found = c.to_numpy(zero_copy_only=False)
+    return found.astype(str) if found.dtype == object else found
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, within: str | None = None, skip_self: bool = False, k_of: str | None = None) -> DataFrame:
     """(qid, id, raw, rank): the k items with the greatest cosine to every query, ties by id.
 
     ``queries`` has qid and vector, ``items`` id and vector; with ``within`` both have that column and
-    only equal values meet. Queries go out in broadcasts of ``QUERY_BYTES``, one scan of the items for
-    each; every item batch answers them in blocks by matrix products and sends on its own k best, so no
-    join is needed and k rows per batch and query are shuffled. Zero vectors are like nothing (0).
+    only equal values meet. A few queries go out in one broadcast to every task of the items. More are
+    dealt with the items into cells of (value of ``within``, stripe of queries, stripe of items), none of
+    which sees the driver; a cell holds its queries and lets its items stream by. Either way blocks are
+    compared by matrix products and a task sends on its own k best. Zero vectors are like nothing (0).
     """
     spark = items.sparkSession
-    rows = queries.select("qid", "vector", *([within] if within else [])).orderBy("qid").toLocalIterator(prefetchPartitions=True)
     kind = dict(queries.dtypes)["qid"], dict(items.dtypes)["id"]
-
-    def scan(block: list) -> DataFrame:
-        ids = np.array([r["qid"] for r in block])
-        groups = np.array([r[within] for r in block]) if within else None
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r["vector"] for r in block], np.float64)), groups))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, q, qgroups = shared.value
-            for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    own = part.column(0).to_numpy(zero_copy_only=False)
-                    order = np.argsort(own, kind="stable")
-                    own, v = own[order], _matrix(part.column(1))[order]
-                    theirs = part.column(2).to_numpy(zero_copy_only=False)[order] if qgroups is not None else None
-                    for i in range(0, len(qids), QUERY_BLOCK):
-                        some = slice(i, i + QUERY_BLOCK)
-                        sims = np.round(q[some] @ v.T, DIGITS)
-                        if qgroups is not None:
-                            sims[qgroups[some][:, None] != theirs[None, :]] = -np.inf
-                        if skip_self:
-                            sims[qids[some][:, None] == own[None, :]] = -np.inf
-                        r, c = _best(sims, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[some][r]), pa.array(own[c]), pa.array(sims[r, c])], ["qid", "id", "raw"])
-
-        return items.select("id", "vector", *([within] if within else [])).mapInArrow(run, f"qid {kind[0]}, id {kind[1]}, raw double")
-
-    parts: list[DataFrame] = []
-    block: list = []
-    size = 0
-    for r in rows:
-        block.append(r)
-        size += 8 * len(r["vector"]) + 64
-        if size >= QUERY_BYTES:
-            parts.append(scan(block))
-            block, size = [], 0
-    if block:
-        parts.append(scan(block))
-    if not parts:
+    group = [within] if within else []
+    asked, held = queries.select("qid", "vector", *group), items.select("id", "vector", *group)
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(64 + 8 * F.size("vector")), F.lit(0))).first()
+    if n * k <= KEPT and size <= QUERY_BYTES:
+        found = _from_broadcast(asked, held, k, within, skip_self, kind)
+    else:
+        found = _from_cells(asked, held, k, within, skip_self, kind)
+    if n == 0:
         return spark.createDataFrame([], f"qid {kind[0]}, id {kind[1]}, raw double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     by = Window.partitionBy("qid").orderBy(F.desc("raw"), "id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def _from_broadcast(queries: DataFrame, items: DataFrame, k: int, within: str | None, skip_self: bool, kind: tuple[str, str]) -> DataFrame:
+    block = queries.orderBy("qid").collect()
+    dim = max((len(r["vector"] or ()) for r in block), default=0)
+    q = _unit(np.array([r["vector"] or [0.0] * dim for r in block], np.float64).reshape(len(block), dim))
+    shared = items.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in block]), q, np.array([r[within] for r in block]) if within else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, groups = shared.value
+        top = _Top(len(qids), k)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                apart = groups[:, None] != part.column(2).to_numpy(zero_copy_only=False)[None, :] if groups is not None else None
+                top.meet(q, qids, _column(part.column(0)), part.column(1), skip_self, apart)
+        yield from top.batches(qids)
+
+    return items.mapInArrow(run, f"qid {kind[0]}, id {kind[1]}, raw double")
+
+
+def _from_cells(queries: DataFrame, items: DataFrame, k: int, within: str | None, skip_self: bool, kind: tuple[str, str]) -> DataFrame:
+    group = [within] if within else []
+    stripe, least = max(1, min(QUERY_STRIPE, KEPT // k)), 2 if within else 8
+    parts = lambda n, each: F.greatest(F.ceil(F.col(n) / each), F.least(F.lit(least), F.ceil(F.col(n) / WORTH))).cast("int")
+    sizes = lambda df, n: df.groupBy(*group).agg(F.count(F.lit(1)).alias(n))
+    cells = sizes(queries, "nq").join(sizes(items, "ni"), group) if within else sizes(queries, "nq").crossJoin(sizes(items, "ni"))
+    cells = cells.select(*group, parts("nq", stripe).alias("qs"), parts("ni", ITEM_STRIPE).alias("js"))
+    first = F.sum(F.col("qs") * F.col("js")).over(Window.orderBy(*(group or [F.lit(0)]))) - F.col("qs") * F.col("js")  # a row per group
+    cells = F.broadcast(written(cells.withColumn("first", first.cast("int")), "cells").filter("js > 0"))
+    many = cells.agg(F.sum(F.col("qs") * F.col("js"))).first()[0] or 1
+    doubles = F.col("vector").cast("array<double>").alias("vector") if dict(queries.dtypes)["vector"] != dict(items.dtypes)["vector"] else F.col("vector")
+    own = lambda df, key, n: df.withColumn("_own", F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
+    met = lambda df: df.join(cells, group) if within else df.crossJoin(cells)
+    null = lambda i: F.lit(None).cast(kind[i])
+    q = own(met(queries), "qid", "qs").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+    q = q.select((F.col("first") + F.col("_own") * F.col("js") + F.col("j")).alias("cell"), F.lit(0).alias("side"), F.col("qid"), null(1).alias("id"), doubles)
+    i = own(met(items), "id", "js").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    i = i.select((F.col("first") + F.col("q") * F.col("js") + F.col("_own")).alias("cell"), F.lit(1).alias("side"), null(0).alias("qid"), "id", doubles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell, the queries before the items."""
+        cell, asked, top, qids = None, [], None, None
+        for b in batches:
+            marks = b.column(0).to_numpy() * 2 + b.column(1).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(marks)) + 1), len(marks)]
+            for start, end in zip([0, *ends], ends, strict=False):
+                part = b.slice(start, end - start)
+                if cell != marks[start] // 2:
+                    if top:
+                        yield from top.batches(qids)
+                    cell, asked, top = marks[start] // 2, [], None
+                if marks[start] % 2 == 0:
+                    asked.append((_column(part.column(2)), _matrix(part.column(4))))
+                    continue
+                if top is None and asked:
+                    qids, dim = np.concatenate([x for x, _ in asked]), max(m.shape[1] for _, m in asked)
+                    q = np.concatenate([m if m.shape[1] else np.zeros((len(m), dim)) for _, m in asked])
+                    asked, top = [], _Top(len(qids), k)
+                for at in range(0, part.num_rows if top else 0, 4096):
+                    some = part.slice(at, 4096)
+                    top.meet(q, qids, _column(some.column(3)), some.column(4), skip_self)
+        if top:
+            yield from top.batches(qids)
+
+    dealt = q.unionByName(i).repartitionById(many, "cell").sortWithinPartitions("cell", "side")
+    return dealt.mapInArrow(run, f"qid {kind[0]}, id {kind[1]}, raw double")
+
+
+def met_by(found: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of a large table joined to rows found in it; found rows are written, and sent to the table while they are few."""
+    found = written(found, "found")
+    return table.join(F.broadcast(found) if found.count() <= SENT_ROWS else found, key)
+
+
 def search(queries: DataFrame, chunks: DataFrame, k: int, corpus: str, reference: int = 800, exempt: tuple[str, ...] = ("availability",)) -> DataFrame:
     """Chunk search: 5k nearest over all corpora, then the corpus filter, length damping and the best k.
 
     ``chunks`` has id, vector, corpus, section_type and n_chars. Fewer than k rows may be left.
     """
-    found = nearest(queries, chunks, 5 * k).join(chunks.select("id", "corpus", "section_type", "n_chars"), "id").filter(F.col("corpus") == corpus)
+    found = met_by(nearest(queries, chunks, 5 * k), chunks.filter(F.col("corpus") == corpus).select("id", "section_type", "n_chars"))
     damped = F.when(F.col("section_type").isin(*exempt), F.lit(1.0)).otherwise(T.length_damping(F.col("n_chars"), reference))
     found = found.withColumn("score", F.round(F.col("raw") * damped, DIGITS))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

@@ -180,11 +180,11 @@ def specificity_vs_rivals(spark, d):
 
     f, s = _facets(spark, d)
     facets = f.select(F.col("label").alias("qid"), F.col("vec_id").alias("facet"))
-    plans = [r[0] for r in s.select("label").distinct().orderBy("label").collect()]  # one row per question
-    sims = facets.select("facet", F.lit(None).cast("int").alias("plan"), F.lit(None).cast("double").alias("sim"))  # no facet is lost where there is no plan
-    for p in plans:
-        best = retrieval.nearest(f.select(F.col("vec_id").alias("qid"), "vector"), s.filter(F.col("label") == p).select(F.col("vec_id").alias("id"), "vector"), 1)
-        sims = sims.unionByName(best.select(F.col("qid").alias("facet"), F.lit(p).alias("plan"), F.col("raw").alias("sim")))
+    plans = s.select(F.col("label").alias("plan")).distinct()
+    asked = f.crossJoin(plans).select(F.concat_ws(":", F.col("vec_id").cast("string"), F.col("plan").cast("string")).alias("qid"), "vector", "plan")  # every facet to every plan
+    best = retrieval.nearest(asked, s.select(F.col("vec_id").alias("id"), "vector", F.col("label").alias("plan")), 1, within="plan")
+    sims = best.select(F.split_part("qid", F.lit(":"), F.lit(1)).cast("bigint").alias("facet"), F.split_part("qid", F.lit(":"), F.lit(2)).cast("int").alias("plan"), F.col("raw").alias("sim"))
+    sims = sims.unionByName(facets.select("facet", F.lit(None).cast("int").alias("plan"), F.lit(None).cast("double").alias("sim")))  # no facet is lost where there is no plan
     return E.specificity(facets.join(sims, "facet"))
 
 
