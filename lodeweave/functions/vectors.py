@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / length))
+    # the length is bound once; named in the inner function it would be summed again for every element
+    return F.transform(F.array(norm(v)), lambda length: F.when(length == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / length)))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

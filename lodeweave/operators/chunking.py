@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,39 +52,40 @@ def bibliography_start(lines: DataFrame, key: str, pos: str, text: str) -> DataF
     return lines.withColumn("_near", near).filter(entry & (F.col("_near") >= ENTRIES)).groupBy(key).agg(F.min(pos).alias("start"))
 
 
+def _bounds(counts: list[int], target: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first, end, tokens) of the chunks of sentences with these tokens."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(counts):
+        if i > first and held + n > target:
+            out.append((first, i, held))
+            first, held = i, 0
+            while first > out[-1][0] and held + counts[first - 1] <= overlap:
+                first -= 1
+                held += counts[first]
+        held += n
+    return [*out, (first, len(counts), held)] if counts else []
+
+
 def chunks(sections: DataFrame, target: int = 512, overlap: int = 64) -> DataFrame:
     """Greedy packing of sentences into chunks, section by section.
 
     ``sections`` has paper, section_index, section_type and text; the fold runs inside one row, so
-    nothing is shuffled. A sentence joins while the tokens stay within the target; then the chunk
-    is closed and trailing sentences of at most ``overlap`` tokens open the next one. A sentence over
-    the target alone is a chunk of its own. Chunks of under 80 characters are dropped.
+    nothing is shuffled, and over numbers of tokens alone: a fold of arrays in SQL copies them at every
+    sentence. A sentence joins while the tokens stay within the target; then the chunk is closed and
+    trailing sentences of at most ``overlap`` tokens open the next one. A sentence over the target alone
+    is a chunk of its own. Chunks of under 80 characters are dropped.
     """
-    kept = sections.filter(~F.col("section_type").isin(T.DROPPED_TYPES))
-    items = F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), T.approx_tokens(s).alias("n")))
-    none = F.array().cast("array<struct<s:string,n:bigint>>")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda t, x: t + x["n"])
-
-    def tail(a):
-        """The longest run of last sentences within the overlap."""
-        start = F.struct(none.alias("keep"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("open"))
-
-        def add(acc, x):
-            fits = acc["open"] & (acc["n"] + x["n"] <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(x), acc["keep"])).otherwise(acc["keep"]).alias("keep"), F.when(fits, acc["n"] + x["n"]).otherwise(acc["n"]).alias("n"), fits.alias("open"))
-
-        return F.aggregate(F.reverse(a), start, add)["keep"]
-
-    start = F.struct(none.alias("cur"), F.array().cast("array<array<struct<s:string,n:bigint>>>").alias("out"))
-
-    def step(acc, x):
-        full = (F.size(acc["cur"]) > 0) & (total(acc["cur"]) + x["n"] > target)
-        cur = F.when(full, F.concat(tail(acc["cur"]), F.array(x))).otherwise(F.concat(acc["cur"], F.array(x)))
-        return F.struct(cur.alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
 
-    packed = F.aggregate(items, start, step, lambda acc: F.filter(F.concat(acc["out"], F.array(acc["cur"])), lambda c: F.size(c) > 0))
-    rows = kept.select("paper", "section_index", "section_type", F.posexplode(packed).alias("n", "c"))
-    text = F.trim(F.array_join(F.transform("c", lambda x: x["s"]), " "))
-    rows = rows.select("paper", "section_index", "section_type", "n", text.alias("text"), F.aggregate("c", F.lit(0).cast("bigint"), lambda t, x: t + x["n"]).alias("tokens"))
+    @F.arrow_udf("array<struct<first:int,end:int,tokens:bigint>>")
+    def bounds(counts: pa.Array) -> pa.Array:
+        found = [[dict(zip(("first", "end", "tokens"), b, strict=True)) for b in _bounds(c or [], target, overlap)] for c in counts.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("tokens", pa.int64())])))
+
+    kept = sections.filter(~F.col("section_type").isin(T.DROPPED_TYPES)).select("paper", "section_index", "section_type", T.sentences(F.col("text")).alias("s"))
+    cut = kept.withColumn("b", bounds(F.transform("s", T.approx_tokens)))
+    text = lambda b: F.trim(F.array_join(F.slice("s", b["first"] + 1, b["end"] - b["first"]), " "))
+    packed = F.transform("b", lambda b: F.struct(text(b).alias("text"), b["tokens"].alias("tokens")))
+    # outer: for a plain explode Spark infers a filter on the array, which would build it again
+    rows = cut.select("paper", "section_index", "section_type", F.posexplode_outer(packed).alias("n", "c")).filter("n is not null").select("paper", "section_index", "section_type", "n", "c.text", "c.tokens")
     rows = rows.filter(F.char_length("text") >= MIN_CHUNK)
     return rows.withColumn("id", F.concat_ws("::", F.col("paper").cast("string"), F.col("section_index").cast("string"), "section_type", F.col("n").cast("string")))

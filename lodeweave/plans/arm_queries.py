@@ -34,13 +34,14 @@ def _passages(docs):
 def _library(spark, d) -> arms.Library:
     docs = table(spark, d, "documents")
     paper = F.col("doc_id").cast("string")
-    corpus = F.when(F.col("n_chars") < 400, "abstract").otherwise("fulltext")
-    sections = docs.select(paper.alias("paper"), F.lit(0).alias("section_index"), F.lit("other").alias("section_type"), "text")
-    packed = chunking.chunks(sections).select("id", "paper", "text", "section_type")
     short = F.char_length(F.trim("text")) < chunking.MIN_CHUNK  # such a document has no chunk; it is one
-    whole = docs.filter(short).select(F.concat(paper, F.lit("::whole")).alias("id"), paper.alias("paper"), "text", F.lit("other").alias("section_type"))
-    chunks = packed.unionByName(whole).join(docs.select(paper.alias("paper"), corpus.alias("corpus")), "paper")
-    chunks = chunks.select("id", "paper", "text", "corpus", "section_type")
+    chunks = None
+    for corpus, some in (("abstract", docs.filter("n_chars < 400")), ("fulltext", docs.filter("n_chars >= 400 or n_chars is null"))):
+        sections = some.select(paper.alias("paper"), F.lit(0).alias("section_index"), F.lit("other").alias("section_type"), "text")
+        packed = chunking.chunks(sections).select("id", "paper", "text", "section_type")
+        whole = some.filter(short).select(F.concat(paper, F.lit("::whole")).alias("id"), paper.alias("paper"), "text", F.lit("other").alias("section_type"))
+        both = packed.unionByName(whole).select("id", "paper", "text", F.lit(corpus).alias("corpus"), "section_type")
+        chunks = both if chunks is None else chunks.unionByName(both)
     layer = F.lit("curated").alias("source_layer")
     passages = written(_passages(docs), "passages")  # found once; nodes and edges read it
     first = passages.filter("n = 0").select(F.col("doc_id"), "passage")

@@ -21,8 +21,10 @@ class VectorStore:
 
     def add(self, chunks: DataFrame) -> None:
         """Append chunks (id, paper, text, section_type, vector, corpus) whose ids are not there yet; vectors become unit vectors."""
-        rows = chunks.dropDuplicates(["id"]).withColumn("vector", V.l2_normalize(F.col("vector"))).withColumn("n_chars", F.char_length("text").cast("bigint"))
-        rows = rows.join(self.load().select("id"), "id", "left_anti")
+        self._write(chunks.dropDuplicates(["id"]).join(self.load().select("id"), "id", "left_anti"))
+
+    def _write(self, chunks: DataFrame) -> None:
+        rows = chunks.withColumn("vector", V.l2_normalize(F.col("vector"))).withColumn("n_chars", F.char_length("text").cast("bigint"))
         rows.select("id", "paper", "text", "section_type", "n_chars", "vector", "corpus").write.mode("append").partitionBy("corpus").parquet(self.path)
 
     def load(self) -> DataFrame:
@@ -42,5 +44,13 @@ class VectorStore:
 def build_vectors(chunks: DataFrame, embed: Callable[[Column], Column], path: str) -> VectorStore:
     """Embed chunks (id, paper, text, section_type, corpus) and store them."""
     store = VectorStore(chunks.sparkSession, path)
-    store.add(chunks.withColumn("vector", embed(F.col("text"))))
-    return store
+    embedded = chunks.withColumn("vector", embed(F.col("text")))
+    if not store.load().isEmpty():
+        store.add(embedded)
+        return store
+    store._write(embedded)  # a new store takes the rows where they are; only their ids move to tell if one came twice
+    if store.load().groupBy("id").count().filter("count > 1").isEmpty():
+        return store
+    once = VectorStore(store.spark, f"{path}-once")
+    store.load().dropDuplicates(["id"]).write.partitionBy("corpus").parquet(once.path)
+    return once
