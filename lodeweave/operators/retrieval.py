@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.storage import written
+from ..functions.storage import parts_of, written
 
 #: Queries of about so many bytes at most go out in a broadcast; more meet the items in tasks of up to so many queries and items.
 QUERY_BYTES, QUERY_STRIPE, ITEM_STRIPE = 2 << 20, 1 << 15, 1 << 18
@@ -296,10 +297,58 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 12, k1: float = 1.5,
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= limit)
 
 
+#: Entries of a table of terms and queries that is sent to every task; low bits of a best line's code that hold its place.
+TERM_TABLE, PLACE = 32 << 20, 40
+
+
 def best_snippets(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, pos, hits): per query and document the chunk with the most distinct query terms, the first on a tie."""
-    q = queries.select("qid", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
-    c = _held_terms(chunks.select(F.struct("id", "pos").alias("id"), "text"), q).filter("term is not null").select("id.id", "id.pos", "term")
-    hits = c.join(q, "term").groupBy("qid", "id", "pos").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.groupBy("qid", "id").agg(F.max(F.struct("hits", (-F.col("pos")).alias("back"))).alias("best"))
-    return best.select("qid", "id", (-F.col("best.back")).cast("long").alias("pos"), F.col("best.hits").alias("hits"))
+    """(qid, id, pos, hits): per query and document the chunk with the most distinct query terms, the first on a tie.
+
+    A table of terms and queries goes out to every task and adds up each chunk's terms for all queries at
+    once, so a row is made per query and document, not per query, chunk and term. With a table beyond
+    ``TERM_TABLE`` terms meet in a join.
+    """
+    q = written(queries.select("qid", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term")), "wanted")
+    n = q.agg(F.count_distinct("qid").alias("q"), F.count_distinct("term").alias("t")).first()
+    if n.q * n.t > TERM_TABLE:
+        c = _held_terms(chunks.select(F.struct("id", "pos").alias("id"), "text"), q).filter("term is not null").select("id.id", "id.pos", "term")
+        hits = c.join(q, "term").groupBy("qid", "id", "pos").agg(F.count(F.lit(1)).alias("hits"))
+        coded = hits.select("qid", "id", (F.shiftleft("hits", PLACE) + F.lit((1 << PLACE) - 1) - F.col("pos")).alias("code"))
+    else:
+        coded = _coded_lines(chunks, q.collect(), dict(queries.dtypes)["qid"])
+    best = coded.repartition(parts_of(chunks), "id").groupBy("qid", "id").agg(F.max("code").alias("code"))  # all queries of a document in a task
+    return best.select("qid", "id", (F.lit((1 << PLACE) - 1) - F.col("code").bitwiseAND(F.lit((1 << PLACE) - 1))).alias("pos"), F.shiftright("code", PLACE).alias("hits"))
+
+
+def _coded_lines(chunks: DataFrame, wanted: list, kind: str) -> DataFrame:
+    """(qid, id, code) of the best line in every run of a document's lines: its hits above, its place counted down below."""
+    terms, qids = sorted({r.term for r in wanted}), sorted({r.qid for r in wanted})
+    at, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(qids)}
+    table = np.zeros((len(terms), len(qids)), np.uint16)
+    for r in wanted:
+        table[at[r.term], column[r.qid]] = 1
+    shared = chunks.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), pa.array(qids), table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked, table = shared.value
+        for b in batches:
+            for start in range(0, b.num_rows, 2048):
+                part = b.slice(start, 2048)
+                t = part.column(2)
+                found = pa.compute.index_in(t.flatten(), value_set=names)
+                line = pa.compute.list_parent_indices(t).to_numpy()[found.is_valid().to_numpy(zero_copy_only=False)]
+                if not len(line):
+                    continue
+                first = np.flatnonzero(np.diff(line, prepend=-1))
+                hits = np.add.reduceat(table[found.drop_null().to_numpy()], first, axis=0, dtype=np.uint16)
+                line = line[first]
+                code = (hits.astype(np.int64) << PLACE) + ((1 << PLACE) - 1 - part.column(1).to_numpy()[line])[:, None]
+                code[hits == 0] = -1
+                runs = part.column(0).take(pa.array(line)).dictionary_encode()
+                begin = np.flatnonzero(np.diff(runs.indices.to_numpy(), prepend=-1))
+                best = np.maximum.reduceat(code, begin, axis=0)
+                r, c = np.nonzero(best >= 0)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(c)), part.column(0).take(pa.array(line[begin][r])), pa.array(best[r, c])], ["qid", "id", "code"])
+
+    lines = chunks.select("id", F.col("pos").cast("bigint").alias("pos"), F.array_distinct(T.search_terms(F.col("text"))).alias("t"))
+    return lines.filter("id is not null").mapInArrow(run, f"qid {kind}, id {dict(chunks.dtypes)['id']}, code bigint")
